@@ -22,7 +22,6 @@ BLOCK_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that no word holds, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -32,14 +31,19 @@ def fold(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, as written; none for null."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAPS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP + "+"))
+    """The words of a text, as written."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def n_words(text: Column) -> Column:
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAPS))
-    return F.length(F.regexp_replace(bare, f"{WORD}{GAP}*", "x")).cast("long")
+    """How many words a text has; 0 for null."""
+    count = F.length(F.regexp_replace(text, f"{GAP}*+{WORD}{GAP}*+", "x"))
+    return F.when(text.rlike(WORD), count).otherwise(0).cast("long")
+
+
+def _each(ws: str) -> Column:
+    """``ws`` for a generator; as a plain column it would be filtered by size first, and so made twice."""
+    return F.coalesce(F.col(ws), F.array().cast("array<string>"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -71,10 +75,10 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_byt
     for k in range(blocks):
         some = held.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else held
         vocabulary = some.select(F.explode("window").alias("word")).select(F.lower("word").alias("token")).distinct()
-        every = text.select(F.explode("ws").alias("word")).select(F.lower("word").alias("token"))
+        every = text.select(F.explode(_each("ws")).alias("word")).select(F.lower("word").alias("token"))
         seen = every.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
         prefix = _prefixes(some, seen)
-        placed = text.select("doc_id", "text_hash", "ws", F.posexplode("ws").alias("pos", "word"))
+        placed = text.select("doc_id", "text_hash", "ws", F.posexplode(_each("ws")).alias("pos", "word"))
         start = F.col("pos") - F.col("off")
         fits = (start >= 0) & (start + F.col("len") <= F.size("ws"))
         same = F.expr("array_join(slice(ws, greatest(pos - off, 0) + 1, len), ' ')")
