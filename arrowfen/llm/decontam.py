@@ -20,9 +20,9 @@ WINDOW = 13
 #: Bytes of windows that one broadcast holds; more windows are joined block by block.
 BLOCK_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ASCII characters that no word holds, before A-Z are lower-cased.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII characters that no word holds, before A-Z are lower-cased. Listed one by one, as Java tests such a class by a table.
+_GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+GAP, WORD = f"[{_GAPS}]", f"[^{_GAPS}]++"
 
 
 def fold(text: Column) -> Column:
