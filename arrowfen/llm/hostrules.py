@@ -60,7 +60,12 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     none = F.array().cast("array<int>")
     five = four.withColumn("_p", F.when(F.size("_v") == 0, none).when(F.size("_v") <= FEW, find).otherwise(sift))
     n_dup = F.size("_lines") - F.size(F.array_distinct("_lines"))
-    six = five.select(*keep, "n_words", "word_chars", "n_symbols", n_dup.cast("long").alias("n_dup_lines"), F.size("_lines").cast("long").alias("n_lines"), _covered(F.col("_p")).alias("n_repeat_words"))
+    measures = [
+        "n_words", "word_chars", "n_symbols", n_dup.cast("long").alias("n_dup_lines"),
+        F.size("_lines").cast("long").alias("n_lines"), _covered(F.col("_p")).alias("n_repeat_words"),
+    ]
+    # as a generator's output, so that no filter on a measure is pushed down and repeats what makes it
+    six = five.select(*keep, F.inline(F.array(F.struct(*measures))))
     return six.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -116,12 +121,12 @@ def judged(docs: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("host_bad"))).drop("host", "host_bad", "n_lines")
 
 
-def kept_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``gone`` lists by doc_id and hash of the text."""
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    listed = stored(gone.select("doc_id", F.col("text_hash").alias("_g")).distinct())
-    right = listed.withColumnRenamed("doc_id", "_d")
-    if listed.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_g"))
-    return keyed.join(right, same, "left_anti").drop("_t")
+def without_failing(docs: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """``docs``, all columns, without the rows that ``judged`` doesn't keep.
+
+    The texts are measured again instead of joined with the verdicts, so they
+    never take part in a shuffle.
+    """
+    bad = rejected_hosts(stored(measured(docs.select("text", host_key(source)), "host")), limit)
+    rows = measured(docs.select(F.struct("*").alias("_row"), "text", host_key(source)), "_row", "host").where("not base_failed")
+    return marked(rows.select("_row", "host"), bad, ["host"], "host_bad").where("not host_bad").select("_row.*")

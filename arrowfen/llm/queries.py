@@ -53,4 +53,4 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -54,14 +54,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty."""
+    """(doc_id, text_hash, fp) for every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(fps)], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _leaders(n: int, generator: int) -> tuple[np.ndarray, int]:
@@ -185,7 +186,7 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text, ...).
+    """(doc_id, text_hash, fingerprint, component_id) for every row of ``docs`` (doc_id, text, ...).
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space.
     ``fingerprint`` is 16 hex digits over the text's word shingles (a shorter
@@ -202,4 +203,4 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE,
     held = stored(held)
     lowest = stored(held.groupBy("root").agg(F.min("least").alias("component_id")))
     of = stored(held.join(lowest, "root").select("fp", "component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from arrowfen.llm.hostrules import judged, kept_rows, measured, rejected_hosts
+from arrowfen.llm.hostrules import judged, measured, rejected_hosts, without_failing
 
 from .conftest import messy_rows
 
@@ -53,11 +53,10 @@ def test_messy_empty_and_repeated(messy, no_docs):
     assert judged(no_docs).collect() == []
 
 
-def test_kept_rows(messy):
-    gone = judged(messy).where("not kept")
-    left = kept_rows(messy, gone)
+def test_failing_rows_go(messy):
+    left = without_failing(messy)
     assert left.columns == messy.columns
-    assert Counter(r.doc_id for r in left.collect()) == Counter(r.doc_id for r in judged(messy).where("kept").collect())
+    assert Counter(map(tuple, left.collect())) == Counter(x for x in messy_rows() if not brute(x[1])[-1])
 
 
 @pytest.mark.parametrize("rates", [(0.9,), (0.1, 0.1)])
