@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .archive import archived
+from .chat import rotated
 from .decontam import contamination
 from .hostrules import judged
 from .pieces import encoded
@@ -51,6 +54,19 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat"] = chat.ORACLE_SQL
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
