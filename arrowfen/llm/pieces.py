@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a worker remembers, and characters that it encodes at once.
-REMEMBERED, CHUNK = 400_000, 1 << 20
+REMEMBERED, CHUNK = 400_000, 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs a unigram model beyond its lowest score.
 PENALTY = 10.0
@@ -61,12 +62,16 @@ class Pieces:
         raw = {UNKNOWN: lambda p: " ⁇ ".encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p.piece[3:-1], 16)])}
         self.out = [raw.get(p.type, lambda p: p.piece.replace(MARK, " ").encode())(p) for p in proto.pieces]
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        # pieces that are their own encoding; no other occurs in one
-        self.standing = {p: k for p, k in self.id.items() if self.merged(p) == [k]} if self.bpe else self.id
-
-    def merged(self, word: str) -> list[int]:
+        self.code = [array("i", [k]).tobytes() for k in range(len(self.text))]
+        self.standing = ahocorasick.Automaton()
+        for p, k in self.id.items() if self.bpe else ():
+            if self.merged(p) == self.code[k]:  # no other piece occurs in an encoding
+                self.standing.add_word(p, (k, len(p)))
+        self.standing.make_automaton()
+
+    def merged(self, word: str) -> bytes:
         """BPE by its definition: join the best-ranked leftmost pair until none is a piece."""
         parts = list(word)
         while True:
@@ -76,41 +81,19 @@ class Pieces:
                 if piece is not None and (best is None or self.score[piece] > best):
                     best, where = self.score[piece], k
             if best is None:
-                return [i for p in parts for i in ([self.id[p]] if p in self.id else self.fallback(p))]
+                return b"".join([self.code[self.id[p]] if p in self.id else self.fallback(p) for p in parts])
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def fallback(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+    def fallback(self, char: str) -> bytes:
+        return b"".join([self.code[self.bytes[b]] for b in char.encode()]) if self.bytes else self.code[self.unknown]
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether two pieces stay apart when their texts meet."""
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
-        ok = self.pairs[left, right] = self.merged(self.text[left] + self.text[right]) == [left, right]
+        ok = self.pairs[left << 32 | right] = self.merged(self.text[left] + self.text[right]) == self.code[left] + self.code[right]
         return ok
 
-    def _last_pieces(self, word: str, first: int, last: list[int], back: list[int]) -> None:
-        """BPE: extends ``last`` and ``back``, the last piece of the encoding of each prefix and where it begins.
-
-        -1 is an unknown character, which keeps apart from all neighbours.
-        """
-        pieces, pairs, longest = self.standing, self.pairs, self.longest
-        for end in range(first, len(word) + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = pieces.get(word[begin:end])
-                if piece is None:
-                    continue
-                left = last[begin]
-                if left < 0:
-                    break
-                fits = pairs.get((left, piece))
-                if fits or fits is None and self._fits(left, piece):
-                    break
-            else:
-                begin, piece = end - 1, -1
-            last.append(piece)
-            back.append(begin)
-
     def _best_pieces(self, word: str, first: int, last: list[int], back: list[int], best: list[float]) -> None:
         """Unigram: extends ``last``, ``back`` and ``best``, the score of the best segmentation of each prefix."""
         for end in range(first, len(word) + 1):
@@ -123,25 +106,62 @@ class Pieces:
             back.append(start)
             best.append(top)
 
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of distinct words, in the order of their trie."""
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, its ids as 32-bit integers) of distinct words, in the order of their trie.
+
+        ``last`` and ``back`` hold, for each prefix of the word at hand, the
+        last piece of its encoding and where that begins. -1 is an unknown
+        character, which keeps apart from all neighbours.
+        """
         before, last, back, best = "", [-1], [0], [0.0]
+        ending, known, code, bpe, longest = self.standing.iter, self.pairs.get, self.code, self.bpe, self.longest
         for word in sorted(words):
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del last[shared + 1 :], back[shared + 1 :], best[shared + 1 :]
-            if self.bpe:
-                self._last_pieces(word, shared + 1, last, back)
+            size = len(word)
+            if word.startswith(before):
+                shared = len(before)
             else:
-                self._best_pieces(word, shared + 1, last, back, best)
+                shared = 0
+                for a, b in zip(word, before):
+                    if a != b:
+                        break
+                    shared += 1
             before = word
-            ids: list[int] = []
-            end = len(word)
-            while end:
-                ids += [last[end]] if last[end] >= 0 else self.fallback(word[end - 1])[::-1]
-                end = back[end]
-            yield word, ids[::-1]
+            if shared + 1 < len(last):
+                del last[shared + 1 :], back[shared + 1 :]
+            end = shared + 1
+            if bpe:
+                for at, (piece, chars) in ending(word, end - longest if end > longest else 0):
+                    if at < shared:
+                        continue
+                    while end <= at:
+                        last.append(-1)
+                        back.append(end - 1)
+                        end += 1
+                    if end > at + 1:
+                        continue
+                    begin = end - chars
+                    left = last[begin]
+                    if left >= 0:
+                        fits = known(left << 32 | piece)
+                        if not (self._fits(left, piece) if fits is None else fits):
+                            continue
+                    last.append(piece)
+                    back.append(begin)
+                    end += 1
+                while end <= size:
+                    last.append(-1)
+                    back.append(end - 1)
+                    end += 1
+            else:
+                del best[shared + 1 :]
+                self._best_pieces(word, end, last, back, best)
+            parts = []
+            while size:
+                piece = last[size]
+                parts.append(code[piece] if piece >= 0 else self.fallback(word[size - 1]))
+                size = back[size]
+            parts.reverse()
+            yield word, b"".join(parts)
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -156,8 +176,7 @@ class Pieces:
             self.known.clear()
             new = {w for ws in cut for w in ws}
         known = self.known
-        for word, ids in self.walk(new):
-            known[word] = array("i", ids).tobytes()
+        known.update(self.walk(new))
         return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
