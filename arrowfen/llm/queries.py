@@ -15,6 +15,7 @@ from .pieces import encoded
 from .pii import detect
 from .shards import interleave
 from .simhash import near_duplicates
+from .urltree import filtered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +55,11 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@query
+def op6_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(table(spark, sf_dir, "conversations"))
