@@ -11,6 +11,7 @@ from .archive import archived
 from .chat import rotated
 from .decontam import contamination
 from .hostrules import judged
+from .htmlwrap import extracted
 from .pieces import encoded
 from .pii import detect
 from .shards import interleave
@@ -68,6 +69,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_chat"] = chat.ORACLE_SQL
 
 
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
