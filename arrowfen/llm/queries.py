@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, oracles
 from .archive import archived
 from .chat import rotated
 from .decontam import contamination
@@ -19,7 +19,12 @@ from .simhash import near_duplicates
 from .urltree import filtered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op5_host_rules": oracles.HOST_RULES,
+    "op7_chat": chat.ORACLE_SQL,
+    "op9_warc": oracles.WARC,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +71,6 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(table(spark, sf_dir, "conversations"))
 
 
-ORACLES["op7_chat"] = chat.ORACLE_SQL
-
 
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
