@@ -1,4 +1,4 @@
-"""Settings of collections and searches, from YAML-free JSON files and the environment, validated."""
+"""Settings of collections and searches, from JSON or YAML files and the environment, validated."""
 
 from __future__ import annotations
 
@@ -108,15 +108,23 @@ class AppConfig:
         return asdict(self)
 
 
+def _yaml(text: str) -> dict:
+    try:
+        import yaml
+    except ImportError as e:
+        raise ConfigError("YAML files need the yaml package; use JSON") from e
+    return yaml.safe_load(text) or {}
+
+
 def load_config(path: str | None = None, env: dict[str, str] | None = None) -> AppConfig:
-    """A JSON file (or ``CONFIG_FILE``), then ``DATA_DIR``, ``SLOW_QUERY_MS``, ``INDEX_TYPE`` and ``CACHE_MAX_SIZE``."""
+    """A JSON or YAML file (or ``CONFIG_FILE``), then ``DATA_DIR``, ``SLOW_QUERY_MS``, ``INDEX_TYPE`` and ``CACHE_MAX_SIZE``."""
     env = dict(os.environ if env is None else env)
     path = path or env.get("CONFIG_FILE")
     raw: dict = {}
     if path:
         try:
             with open(path) as f:
-                raw = json.load(f)
+                raw = _yaml(f.read()) if path.endswith((".yaml", ".yml")) else json.load(f)
         except (OSError, ValueError) as e:
             raise ConfigError(f"{path}: {e}") from e
     for name, key, kind in (("DATA_DIR", "data_dir", str), ("SLOW_QUERY_MS", "slow_query_ms", int), ("CACHE_MAX_SIZE", "cache_rows", int)):

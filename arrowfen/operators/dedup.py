@@ -41,8 +41,9 @@ def pairs_above(base: DataFrame, threshold: float = 0.95, metric: str | None = N
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a, va, b, vb = _split(key, table)
-        x, y = np.nonzero(scores(va, vb, name) >= threshold)
-        worth = scores(va, vb, name)[x, y]
+        every = scores(va, vb, name)
+        x, y = np.nonzero(every >= threshold)
+        worth = every[x, y]
         keep = a[x] < b[y] if key[0] == key[1] else np.ones(len(x), bool)
         left, right = a[x][keep], b[y][keep]
         swap = left > right
