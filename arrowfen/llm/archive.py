@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
 from .scratch import new_path, stored
 
 # The header fields of the two ARC versions and the revisit profile.
@@ -161,7 +162,7 @@ def converted(pages: DataFrame, date: str = "20240101000000", version: int = 1,
                 out += [warc_record(c, key, refers) for c in arc_captures(archive)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
 
-    return keyed.select("page_id", "url", "html", other).mapInArrow(run, "record string")
+    return small(keyed.select("page_id", "url", "html", other)).mapInArrow(run, "record string")
 
 
 def write_warc(records: DataFrame, path: str) -> None:

@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import small
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a worker remembers, and characters that it encodes at once.
-REMEMBERED, CHUNK = 400_000, 1 << 22
+REMEMBERED, CHUNK = 300_000, 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs a unigram model beyond its lowest score.
 PENALTY = 10.0
@@ -197,11 +199,12 @@ def _loaded(model: bytes) -> Pieces:
     return _LOADED[hash(model)]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, some at a time; only those are Python strings at once."""
     part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
+    for value in column:
+        part.append(value.as_py() or "")
+        size += len(part[-1])
         if size >= CHUNK:
             yield part
             part, size = [], 0
@@ -225,7 +228,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         pieces = _loaded(model.value)
         for batch in batches:
             first = 0
-            for texts in _chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in _chunks(batch.column(1)):
                 ids = pieces.encode(texts)
                 exact = [pieces.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
                 sizes = [len(i) for i in ids]
@@ -235,7 +238,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "exact"])
                 first += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
+    return small(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
 
 def decoded(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -249,4 +252,4 @@ def decoded(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
             texts = [None if v is None else pieces.decode(v) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return small(rows.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")

@@ -17,6 +17,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import small
+
 #: In the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -190,7 +192,7 @@ def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             columns = [batch.column(0), *map(pa.array, out, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -224,4 +226,4 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     columns[chars_at] = pa.array([len(changed[k]) if k in changed else v for k, v in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small(docs).mapInArrow(run, docs.schema)

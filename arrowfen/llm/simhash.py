@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
 from .components import components
 from .scratch import stored
 
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(fps)], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return small(rows).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _leaders(n: int, generator: int) -> tuple[np.ndarray, int]:
