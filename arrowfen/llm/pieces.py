@@ -30,7 +30,7 @@ from .batches import small
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a worker remembers, and characters that it encodes at once.
-REMEMBERED, CHUNK = 300_000, 1 << 21
+REMEMBERED, CHUNK = 150_000, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs a unigram model beyond its lowest score.
 PENALTY = 10.0
@@ -237,6 +237,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 columns = [batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "exact"])
                 first += len(texts)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return small(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
