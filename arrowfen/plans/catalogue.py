@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Limits, SearchConfig
+from ..config import IndexConfig, Limits, SearchConfig
 from ..functions import distance as D
 from ..functions import embed as E
 from ..functions import telemetry as T
 from ..functions import vector as V
 from ..functions.metadata import Filter, flat_json, scalars_of
+from ..functions.sql import register
 from ..operators import dedup, graph, ivf, knn, mutate
+from ..operators.index import VectorIndex
 from ..sources.shared import shared_path
 from ..sources.wal import read_wal, replayed, write_wal
 from ..streaming.wal_stream import merge_log, merged_rows, windowed_counts
@@ -415,8 +417,6 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n, CASE WHEN n < 10000 THEN 'flat' WHEN n < 100000 THEN 'ivf' ELSE 'hnsw' END AS kind FROM (SELECT count(*) AS n FROM embeddings UNION ALL SELECT count(*) * 10 FROM documents UNION ALL SELECT count(*) * 100 FROM events)")
 def select_index_type(spark: SparkSession, sf: str) -> DataFrame:
-    from ..config import IndexConfig
-
     counts = [vectors(spark, sf).count(), table(spark, sf, "documents").count() * 10, table(spark, sf, "events").count() * 100]
     return spark.createDataFrame([(n, IndexConfig().choose(n)) for n in counts], "n bigint, kind string")
 
@@ -437,6 +437,23 @@ def hnsw_tombstones(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_search(rows, asked, 5, ef=400, tombstones=rows.where("label = 4")).select("id", r6(F.col("score")).alias("score"))
 
 
+query(_batch_sql(20, 10), "index_auto_search")(lambda spark, sf: VectorIndex.build(vectors(spark, sf)).search(some_queries(spark, sf, 20)).withColumn("score", r6(F.col("score"))))
+
+
+@query("SELECT 'flat' AS kind, count(*) AS vectors, sum(16 + 4 * len(embedding))::BIGINT AS bytes, 0::BIGINT AS lists FROM embeddings")
+def index_auto_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return VectorIndex.build(vectors(spark, sf)).stats()
+
+
+@query(f"WITH {C_SQL}, {Q_SQL} SELECT id, {q6(COS_SQL)} AS cosine, {q6('list_distance(v, qv)')} AS l2 FROM c, q WHERE {COS_SQL} > 0.2")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance functions as SQL users call them."""
+    register(spark)
+    vectors(spark, sf).createOrReplaceTempView("arrowfen_vectors")
+    q = "array(" + ", ".join(f"{x!r}D" for x in first_vector(spark, sf)) + ")"
+    return spark.sql(f"SELECT id, round(vec_cosine(vector, {q}), 6) + 0D AS cosine, round(vec_l2(vector, {q}), 6) + 0D AS l2 FROM arrowfen_vectors WHERE vec_cosine(vector, {q}) > 0.2")
+
+
 # mutations
 
 NEW_SQL = "n AS (SELECT vec_id + 250 AS id, label + 100 AS label FROM embeddings WHERE vec_id < 400)"

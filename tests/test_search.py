@@ -3,10 +3,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from arrowfen.config import SearchConfig
+from arrowfen.config import IndexConfig, SearchConfig
 from arrowfen.errors import InvalidRequestError
 from arrowfen.functions.metadata import Filter
 from arrowfen.operators import dedup, graph, ivf, knn
+from arrowfen.operators.index import VectorIndex
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +112,20 @@ def test_graph_index(spark, cloud):
     one.insert("a", np.array([1.0, 0, 0]))
     assert one.remove("a") and not one.remove("a") and one.search(np.ones(3), 5) == []
     assert one.stats()["tombstones"] == 1 and len(one) == 0
+
+
+@pytest.mark.parametrize("config", [IndexConfig(), IndexConfig(flat_below=10, ivf_below=1000, clusters=8, nprobe=8), IndexConfig(kind="hnsw", ef=300)])
+def test_every_access_path_answers_alike(spark, cloud, tmp_path, config):
+    df, v = cloud
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(6)], "q_id long, vector array<double>")
+    flat = {(r.q_id, r.id) for r in knn.knn_batch(df, queries, 10).collect()}
+    index = VectorIndex.build(df, config)
+    assert index.kind == config.choose(600) and index.stats().first().vectors == 600
+    index.save(f"{tmp_path}/i")
+    for own in (index, VectorIndex.load(spark, f"{tmp_path}/i", index.kind, config)):
+        near = {(r.q_id, r.id) for r in own.search(queries).collect()}
+        assert len(near & flat) / len(flat) >= (0.95 if index.kind == "hnsw" else 1)
+    new = spark.createDataFrame([(700, v[0].tolist(), 0), (700, v[0].tolist(), 0), (1, v[2].tolist(), 0)], "id long, vector array<float>, label int")
+    grown = index.insert(new)
+    assert [r.id for r in grown.search(queries.where("q_id = 0"), 2).orderBy("rank").collect()] == [0, 700]
+    assert grown.remove(new).stats().first().vectors == 599
