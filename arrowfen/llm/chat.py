@@ -16,7 +16,7 @@ SYSTEM, NOBODY = "system", "unknown"
 END = "<|end|>\n"
 #: Turns that one rendered row holds at most; longer dialogues are rendered in parts.
 PART_TURNS = 4096
-#: So many long dialogues are looked up by broadcast at most.
+#: So many long dialogues, or ranges of them, are looked up by broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -81,8 +81,8 @@ def _long_parts(rows: DataFrame, part_turns: int) -> DataFrame:
     counts = placed.groupBy("conv_id", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("conv_id", "range", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    # a row for each range and each dialogue of over part_turns rows
-    ranked = placed.join(F.broadcast(counts), ["conv_id", "range"])
+    counts = stored(counts)
+    ranked = placed.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, ["conv_id", "range"])
     cut = ranked.withColumn("part", F.floor((F.col("before") + F.col("at") - F.col("first")) / part_turns).cast("int"))
     turns = cut.groupBy("conv_id", "part").agg(_turns().alias("turns"))
     speakers = stored(rows.select("conv_id", F.col("role").alias("speaker")).distinct())
