@@ -30,7 +30,9 @@ from .batches import small
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a worker remembers, and characters that it encodes at once.
-REMEMBERED, CHUNK = 150_000, 1 << 20
+REMEMBERED, CHUNK = 250_000, 1 << 20
+#: Pairs of pieces of which a worker remembers whether they stay apart.
+PAIRS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs a unigram model beyond its lowest score.
 PENALTY = 10.0
@@ -64,7 +66,8 @@ class Pieces:
         raw = {UNKNOWN: lambda p: " ⁇ ".encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p.piece[3:-1], 16)])}
         self.out = [raw.get(p.type, lambda p: p.piece.replace(MARK, " ").encode())(p) for p in proto.pieces]
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.pairs: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.text]
+        self.n_pairs = 0
         self.known: dict[str, bytes] = {}
         self.code = [array("i", [k]).tobytes() for k in range(len(self.text))]
         self.standing = ahocorasick.Automaton()
@@ -91,9 +94,12 @@ class Pieces:
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether two pieces stay apart when their texts meet."""
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        ok = self.pairs[left << 32 | right] = self.merged(self.text[left] + self.text[right]) == self.code[left] + self.code[right]
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 1
+            for known in self.pairs:
+                known.clear()
+        ok = self.pairs[left][right] = self.merged(self.text[left] + self.text[right]) == self.code[left] + self.code[right]
         return ok
 
     def _best_pieces(self, word: str, first: int, last: list[int], back: list[int], best: list[float]) -> None:
@@ -116,7 +122,7 @@ class Pieces:
         character, which keeps apart from all neighbours.
         """
         before, last, back, best = "", [-1], [0], [0.0]
-        ending, known, code, bpe, longest = self.standing.iter, self.pairs.get, self.code, self.bpe, self.longest
+        ending, pairs, code, bpe, longest = self.standing.iter, self.pairs, self.code, self.bpe, self.longest
         for word in sorted(words):
             size = len(word)
             if word.startswith(before):
@@ -144,7 +150,7 @@ class Pieces:
                     begin = end - chars
                     left = last[begin]
                     if left >= 0:
-                        fits = known(left << 32 | piece)
+                        fits = pairs[left].get(piece)
                         if not (self._fits(left, piece) if fits is None else fits):
                             continue
                     last.append(piece)
@@ -173,18 +179,17 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.words(t) for t in texts]
-        new = {w for ws in cut for w in ws} - self.known.keys()
+        new = set().union(*cut) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = {w for ws in cut for w in ws}
-        known = self.known
-        known.update(self.walk(new))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in cut]
+            new = set().union(*cut)
+        self.known.update(self.walk(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.int32) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
 
