@@ -40,6 +40,12 @@ def cosine(a: Column, b: Column) -> Column:
     return _same_size(a, b, F.when(both == 0, F.lit(0.0)).otherwise(_dot(a, b) / both))
 
 
+def cosine_to_unit(a: Column, b: Column) -> Column:
+    """The cosine where ``b`` has length 1 or 0."""
+    n = norm(a)
+    return _same_size(a, b, F.when(n == 0, F.lit(0.0)).otherwise(_dot(a, b) / n))
+
+
 def squared_euclidean(a: Column, b: Column) -> Column:
     return _same_size(a, b, _sum(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y))))
 

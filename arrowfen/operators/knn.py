@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_BATCH, SearchConfig, metric_name
 from ..errors import InvalidRequestError
-from ..functions.distance import euclidean, score
+from ..functions.distance import cosine_to_unit, euclidean, score
 from ..functions.metadata import Filter
 from ..functions.vector import check_batch_size
 from .kernel import best, matrix, scores
@@ -28,6 +28,15 @@ def query_column(query: Sequence[float]):
     return F.lit(q)
 
 
+def _score(vector: str, query: Sequence[float], metric: str | None, binary: bool):
+    """The score with a constant query, whose length is taken once instead of for each row."""
+    if metric_name(metric) != "cosine" or binary:
+        return score(F.col(vector), query_column(query), metric, binary)
+    q = np.asarray(query, np.float64)
+    length = np.linalg.norm(q)
+    return cosine_to_unit(F.col(vector), query_column(q / length if length else q))
+
+
 def knn(
     base: DataFrame, query: Sequence[float], k: int = 10, metric: str | None = None, where: Filter | None = None, filter_mode: str = "pre",
     rank_metric: str | None = None, config: SearchConfig = SearchConfig(), id: str = "id", vector: str = "vector", metadata: str | None = None, binary: bool = False,
@@ -38,9 +47,9 @@ def knn(
     then filters, so fewer than k rows may come back. ``rank_metric`` ranks by
     another metric than the one that is reported.
     """
-    q = query_column(query)
-    value = score(F.col(vector), q, metric, binary)
-    rank = value if rank_metric is None else score(F.col(vector), q, rank_metric, binary)
+    query_column(query)  # rejects what is no query
+    value = _score(vector, query, metric, binary)
+    rank = value if rank_metric is None else _score(vector, query, rank_metric, binary)
     rows = base.where(F.col(vector).isNotNull())
     filtered = where is not None
     if filtered and filter_mode == "pre":
