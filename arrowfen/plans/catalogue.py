@@ -8,11 +8,12 @@ digits, ties go to the lower id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IndexConfig, Limits, SearchConfig
+from ..config import MAX_BATCH, IndexConfig, Limits, SearchConfig
 from ..functions import distance as D
 from ..functions import embed as E
 from ..functions import telemetry as T
@@ -73,6 +74,25 @@ def some_queries(spark: SparkSession, sf: str, n: int) -> DataFrame:
     return vectors(spark, sf).where(F.col("id") < n).select(F.col("id").alias("q_id"), "vector")
 
 
+def in_batches(asked: DataFrame, search: Callable[[DataFrame], DataFrame], q_id: str = "q_id", apart: int = 1) -> DataFrame:
+    """``search`` of all of ``asked``, MAX_BATCH at a time at most; ids are whole numbers at least ``apart`` apart."""
+    part = F.floor(F.col(q_id) / (apart * MAX_BATCH))
+    parts = [r[0] for r in asked.select(part.alias("p")).distinct().orderBy("p").collect()]
+    return reduce(DataFrame.unionByName, [search(asked.where(part == n)) for n in parts]) if parts else search(asked)
+
+
+def sampled(spark: SparkSession, sf: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` of every row with id % 100 = 0, however many."""
+    asked = vectors(spark, sf).where(F.col("id") % 100 == 0).select(F.col("id").alias("q_id"), "vector")
+    return in_batches(asked, search, apart=100)
+
+
+def recall_of(near: DataFrame, exact: DataFrame) -> DataFrame:
+    """(q_id, recall) of ``near`` against the exact result."""
+    hits = exact.select("q_id", "id").join(near.select("q_id", "id", F.lit(1).alias("hit")), ["q_id", "id"], "left")
+    return hits.groupBy("q_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """The change log: (seq, id, type, value)."""
     kind = F.when(F.col("event_type") == "signup", "Insert").when(F.col("event_type") == "error", "Delete").otherwise("Update")
@@ -164,22 +184,35 @@ for _name, _metric, _sql in (("knn_cosine", "cosine", COS_SQL), ("knn_dot", "dot
     query(_top(_sql), _name)(lambda spark, sf, m=_metric: _hits(knn.knn(vectors(spark, sf), first_vector(spark, sf), 10, m)))
 
 
-def _batch_sql(n: int, k: int, score: str = "list_cosine_similarity(c.v, q.v)") -> str:
-    return f"""WITH {C_SQL}, s AS (SELECT q.id AS q_id, c.id AS id, {score} AS score FROM c q, c WHERE q.id < {n}),
+SAMPLED = "q.id % 100 = 0"
+
+
+def _batch_sql(asked: str, k: int, score: str = "list_cosine_similarity(c.v, q.v)") -> str:
+    return f"""WITH {C_SQL}, s AS (SELECT q.id AS q_id, c.id AS id, {score} AS score FROM c q, c WHERE {asked}),
         r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM s)
         SELECT q_id, rank, id, {q6('score')} AS score FROM r WHERE rank <= {k}"""
 
 
-@query(_batch_sql(20, 10))
+@query(_batch_sql("q.id < 20", 10))
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn_batch(vectors(spark, sf), some_queries(spark, sf, 20), 10).withColumn("score", r6(F.col("score")))
 
 
-@query(_batch_sql(50, 5, "1 / (1 + list_distance(c.v, q.v))"))
+@query(_batch_sql("q.id < 50", 5, "1 / (1 + list_distance(c.v, q.v))"))
 def knn_batch_l2(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn_batch(vectors(spark, sf), some_queries(spark, sf, 50), 5, "euclidean").withColumn("score", r6(F.col("score")))
 
 
+@query(_batch_sql(SAMPLED, 10))
+def knn_batch_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return sampled(spark, sf, lambda asked: knn.knn_batch(vectors(spark, sf), asked, 10)).withColumn("score", r6(F.col("score")))
+
+
+@query(_batch_sql(SAMPLED, 5, "1 / (1 + list_distance(c.v, q.v))"))
+def knn_batch_l2_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return sampled(spark, sf, lambda asked: knn.knn_batch(vectors(spark, sf), asked, 5, "euclidean")).withColumn("score", r6(F.col("score")))
+
+
 @query(f"WITH {C_SQL}, {Q_SQL}, s AS (SELECT id, {L2_SQL} AS score FROM c, q ORDER BY {COS_SQL} DESC, id LIMIT 10) SELECT id, {q6('score')} AS score FROM s")
 def knn_metric_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(knn.knn(vectors(spark, sf), first_vector(spark, sf), 10, "euclidean", rank_metric="cosine"))
@@ -383,9 +416,9 @@ def ivf_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.IvfIndex.build(vectors(spark, sf), 16, iterations=1).sizes()
 
 
-def _probe_sql(nprobe: int) -> str:
+def _probe_sql(nprobe: int, asked: str = "q.id < 20") -> str:
     return f"""WITH {C_SQL}, {SEEDS}, {ASSIGN % 's'},
-    pr AS (SELECT q.id AS q_id, cid, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, cv), 12) DESC, cid) AS k FROM c q, s WHERE q.id < 20),
+    pr AS (SELECT q.id AS q_id, cid, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, cv), 12) DESC, cid) AS k FROM c q, s WHERE {asked}),
     h AS (SELECT q_id, c.id, list_cosine_similarity(c.v, q.v) AS score FROM pr JOIN a USING (cid) JOIN c ON c.id = a.id JOIN c q ON q.id = q_id WHERE k <= {nprobe}),
     r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM h)
     SELECT q_id, rank, id, {q6('score')} AS score FROM r WHERE rank <= 10"""
@@ -402,6 +435,17 @@ query(_probe_sql(1), "ivf_search_np1")(lambda spark, sf: _probed(spark, sf, 1))
 query(_probe_sql(16), "ivf_search_full")(lambda spark, sf: _probed(spark, sf, 16))
 
 
+def _probed_sampled(spark: SparkSession, sf: str, nprobe: int) -> DataFrame:
+    rows = vectors(spark, sf)
+    centroids = ivf.seeds(rows, 16)
+    index = ivf.IvfIndex(centroids, ivf.assigned(rows, centroids))
+    return sampled(spark, sf, lambda asked: index.search(asked, 10, nprobe)).withColumn("score", r6(F.col("score")))
+
+
+query(_probe_sql(1, SAMPLED), "ivf_search_np1_sampled")(lambda spark, sf: _probed_sampled(spark, sf, 1))
+query(_probe_sql(16, SAMPLED), "ivf_search_full_sampled")(lambda spark, sf: _probed_sampled(spark, sf, 16))
+
+
 @query("SELECT count(*) AS n, greatest(floor(sqrt(count(*))), 10)::BIGINT AS clusters, floor(least(greatest(0.1 * greatest(floor(sqrt(count(*))), 10), 1), 10))::BIGINT AS nprobe, 10::BIGINT AS iterations FROM embeddings")
 def ivf_auto_params(spark: SparkSession, sf: str) -> DataFrame:
     n = vectors(spark, sf).count()
@@ -423,11 +467,9 @@ def select_index_type(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """(q_id, recall) at 10 of the graph index against the exact result."""
-    rows, asked = vectors(spark, sf).repartition(4, "id"), some_queries(spark, sf, 20)
-    near = graph.graph_search(rows, asked, 10).select("q_id", "id", F.lit(1).alias("hit"))
-    exact = knn.knn_batch(rows, asked, 10).select("q_id", "id")
-    return exact.join(near, ["q_id", "id"], "left").groupBy("q_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    """(q_id, recall) at 10 of the graph index against the exact result, for every row with id % 100 = 0."""
+    rows = vectors(spark, sf).repartition(4, "id")
+    return sampled(spark, sf, lambda asked: recall_of(graph.graph_search(rows, asked, 10), knn.knn_batch(rows, asked, 10)))
 
 
 @query(f"WITH {C_SQL}, {Q_SQL}, s AS (SELECT id, {COS_SQL} AS score FROM c, q WHERE label <> 4) SELECT id, {q6('score')} AS score FROM s ORDER BY s.score DESC, id LIMIT 5")
@@ -437,7 +479,15 @@ def hnsw_tombstones(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_search(rows, asked, 5, ef=400, tombstones=rows.where("label = 4")).select("id", r6(F.col("score")).alias("score"))
 
 
-query(_batch_sql(20, 10), "index_auto_search")(lambda spark, sf: VectorIndex.build(vectors(spark, sf)).search(some_queries(spark, sf, 20)).withColumn("score", r6(F.col("score"))))
+@query()
+def hnsw_tombstones_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """(q_id, recall) at 5 of the graph index without removed rows against the exact result without them, for every row with id % 100 = 0."""
+    rows = vectors(spark, sf).repartition(4, "id")
+    live = rows.where("label <> 4")
+    return sampled(spark, sf, lambda asked: recall_of(graph.graph_search(rows, asked, 5, ef=400, tombstones=rows.where("label = 4")), knn.knn_batch(live, asked, 5)))
+
+
+query(_batch_sql("q.id < 20", 10), "index_auto_search")(lambda spark, sf: VectorIndex.build(vectors(spark, sf)).search(some_queries(spark, sf, 20)).withColumn("score", r6(F.col("score"))))
 
 
 @query("SELECT 'flat' AS kind, count(*) AS vectors, sum(16 + 4 * len(embedding))::BIGINT AS bytes, 0::BIGINT AS lists FROM embeddings")
@@ -629,10 +679,10 @@ def text_search_mock(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def text_search_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents nearest to the first benchmark passage by hashed words."""
-    asked = table(spark, sf, "benchmark").orderBy("item_id").select("text").first()[0]
+    """(q_id, rank, id, score): the documents nearest to each benchmark passage by hashed words."""
+    asked = E.embedded(table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), "text"), E.hashing(64)).select("q_id", "vector")
     docs = E.embedded(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), E.hashing(64))
-    return _hits(knn.knn(docs, E.hashing(64)(asked)[0], 10))
+    return in_batches(asked, lambda some: knn.knn_batch(docs, some, 10)).withColumn("score", r6(F.col("score")))
 
 
 @query("SELECT count(*) AS n, count(*) AS fresh, true AS well_formed FROM embeddings")

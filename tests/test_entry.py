@@ -55,6 +55,20 @@ def test_graph_recall(spark):
     assert sum(r.recall for r in rows) / len(rows) >= 0.95
 
 
+def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
+    want = {r.id for r in catalogue.vectors(spark, DATA).where("id % 100 = 0").collect()}
+    for name in ("knn_batch_sampled", "knn_batch_l2_sampled", "ivf_search_np1_sampled", "ivf_search_full_sampled", "hnsw_recall", "hnsw_tombstones_sampled"):
+        assert {r.q_id for r in catalogue.QUERIES[name](spark, DATA).select("q_id").collect()} == want
+    passages = {r.item_id for r in catalogue.table(spark, DATA, "benchmark").collect()}
+    assert {r.q_id for r in catalogue.QUERIES["text_search_hashed"](spark, DATA).collect()} == passages
+    asked = spark.range(0, 2_500_000, 100).withColumnRenamed("id", "q_id")
+    sizes = []
+    catalogue.in_batches(asked, lambda some: sizes.append(some.count()) or some, apart=100)
+    assert sizes == [10_000, 10_000, 5_000]
+    rows = catalogue.QUERIES["hnsw_tombstones_sampled"](spark, DATA).collect()
+    assert sum(r.recall for r in rows) / len(rows) >= 0.95
+
+
 @pytest.mark.parametrize("gone", [("arrowfen/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
 def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
     copy = tmp_path / "repo"
