@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from .knn import _id_type, collected_queries, ranked
 MOST_CELLS = 50_000_000
 #: All centroids moved less than this similarity allows: training ends.
 CONVERGED = 0.99
+#: Recall that a search without a number of probes has to reach on sampled rows, the sample, and its neighbours that reach the driver at most.
+TARGET, SAMPLE, MOST_FOUND = 0.95, 1_000, 100_000
 
 
 def auto_parameters(n: int) -> tuple[int, int, int]:
@@ -99,6 +101,7 @@ class IvfIndex:
     metric: str = "cosine"
     id: str = "id"
     vector: str = "vector"
+    probes: dict[tuple[int, str], int] = field(default_factory=dict)
 
     @staticmethod
     def build(base: DataFrame, k: int | None = None, iterations: int = 10, metric: str | None = None, id: str = "id", vector: str = "vector") -> IvfIndex:
@@ -127,8 +130,31 @@ class IvfIndex:
     def sizes(self) -> DataFrame:
         return self.rows.groupBy("cid").agg(F.count("*").alias("n"))
 
+    def _ordered(self, vectors: np.ndarray) -> np.ndarray:
+        """The lists of each vector, best first."""
+        return np.argsort(-np.round(scores(vectors, self.centroids, self.metric), 12), axis=1, kind="stable")
+
+    def probes_for(self, k: int, metric: str) -> int:
+        """The fewest lists that hold TARGET of the k nearest other rows of sampled rows, by exact search of the sample; kept for the next search."""
+        if (k, metric) not in self.probes:
+            rows = self.rows.select(F.col(self.id).alias("id"), F.col(self.vector).alias("vector"), "cid")
+            m = max(50, min(SAMPLE, MOST_FOUND // (k + 1)))
+            some = [r.vector for r in rows.orderBy(F.xxhash64("id"), "id").limit(m).select("id", "vector").collect()]
+            clusters, counts = len(self.centroids), np.zeros(len(self.centroids), np.int64)
+            if some:
+                asked = np.array(some, np.float64)
+                near = ranked(rows, np.arange(len(asked)), asked, k + 1, metric, "bigint", _id_type(self.rows, self.id)).where("rank > 1")
+                held = near.join(rows.select("id", "cid"), "id").groupBy("q_id", "cid").count().collect()
+                place = np.argsort(self._ordered(asked), axis=1)  # of each list
+                for r in held:
+                    counts[place[r.q_id, r.cid]] += r["count"]
+            reached = np.flatnonzero(np.cumsum(counts) >= TARGET * counts.sum())
+            least = max(1, min(10, int(0.1 * clusters)))
+            self.probes[k, metric] = max(least, int(reached[0]) + 1 if counts.any() else clusters)
+        return self.probes[k, metric]
+
     def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, q_id: str = "q_id", q_vector: str = "vector", metric: str | None = None) -> DataFrame:
-        """(q_id, rank, id, score) over the ``nprobe`` best lists of each query; all rows if there are no centroids."""
+        """(q_id, rank, id, score) over the ``nprobe`` best lists of each query, or as many as reach TARGET; all rows if there are no centroids."""
         ids, vectors = collected_queries(queries, q_id, q_vector)
         rows = self.rows.select(F.col(self.id).alias("id"), F.col(self.vector).alias("vector"), "cid")
         kinds = _id_type(queries, q_id), _id_type(self.rows, self.id)
@@ -136,8 +162,8 @@ class IvfIndex:
         clusters = len(self.centroids)
         if not clusters:
             return ranked(rows, ids, vectors, k, name, *kinds)
-        nprobe = min(clusters, nprobe or max(1, min(10, int(0.1 * clusters))))
-        order = np.argsort(-np.round(scores(vectors, self.centroids, self.metric), 12), axis=1, kind="stable")[:, :nprobe]
+        nprobe = min(clusters, nprobe or self.probes_for(k, name))
+        order = self._ordered(vectors)[:, :nprobe]
         probed = np.zeros((len(ids), clusters), bool)
         np.put_along_axis(probed, order, True, axis=1)
         lists = np.flatnonzero(probed.any(axis=0)).tolist()

@@ -446,6 +446,14 @@ query(_probe_sql(1, SAMPLED), "ivf_search_np1_sampled")(lambda spark, sf: _probe
 query(_probe_sql(16, SAMPLED), "ivf_search_full_sampled")(lambda spark, sf: _probed_sampled(spark, sf, 16))
 
 
+@query()
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """(q_id, recall) at 10 of the clustered index as built by default against the exact result, for every row with id % 100 = 0."""
+    rows = vectors(spark, sf)
+    index = ivf.IvfIndex.build(rows)
+    return sampled(spark, sf, lambda asked: recall_of(index.search(asked, 10), knn.knn_batch(rows, asked, 10)))
+
+
 @query("SELECT count(*) AS n, greatest(floor(sqrt(count(*))), 10)::BIGINT AS clusters, floor(least(greatest(0.1 * greatest(floor(sqrt(count(*))), 10), 1), 10))::BIGINT AS nprobe, 10::BIGINT AS iterations FROM embeddings")
 def ivf_auto_params(spark: SparkSession, sf: str) -> DataFrame:
     n = vectors(spark, sf).count()

@@ -69,6 +69,12 @@ def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     assert sum(r.recall for r in rows) / len(rows) >= 0.95
 
 
+def test_clustered_recall(spark):
+    for at in (DATA, DATA.replace("sf0.001", "sf0.1")):
+        rows = catalogue.QUERIES["ivf_recall"](spark, at).collect()
+        assert sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
 @pytest.mark.parametrize("gone", [("arrowfen/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
 def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
     copy = tmp_path / "repo"

@@ -100,6 +100,17 @@ def test_clustered_index(spark, cloud, tmp_path):
     assert ivf.auto_parameters(100) == (10, 1, 10) and ivf.auto_parameters(100_000) == (316, 10, 10)
 
 
+def test_clustered_index_probes_until_recall_is_reached(spark, cloud):
+    df, v = cloud
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 600, 10)], "q_id long, vector array<double>")
+    index = ivf.IvfIndex.build(df)
+    for metric in ("cosine", "euclidean"):
+        flat = {(r.q_id, r.id) for r in knn.knn_batch(df, queries, 10, metric).collect()}
+        near = {(r.q_id, r.id) for r in index.search(queries, 10, metric=metric).collect()}
+        assert len(near & flat) / len(flat) >= 0.9
+    assert index.search(queries.where("q_id = 0"), 10, nprobe=1).count() <= 10
+
+
 def test_graph_index(spark, cloud):
     df, v = cloud
     queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(20)], "q_id long, vector array<double>")
