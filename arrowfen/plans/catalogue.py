@@ -498,6 +498,23 @@ def hnsw_tombstones_sampled(spark: SparkSession, sf: str) -> DataFrame:
 query(_batch_sql("q.id < 20", 10), "index_auto_search")(lambda spark, sf: VectorIndex.build(vectors(spark, sf)).search(some_queries(spark, sf, 20)).withColumn("score", r6(F.col("score"))))
 
 
+def _index_recall(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """(q_id, recall) at 10 of an index of that kind, however many rows there are, for every row with id % 100 = 0."""
+    rows = vectors(spark, sf)
+    index = VectorIndex.build(rows, IndexConfig(kind=kind))
+    return sampled(spark, sf, lambda asked: recall_of(index.search(asked), knn.knn_batch(rows, asked, 10)))
+
+
+@query(_batch_sql(SAMPLED, 10))
+def index_flat_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = VectorIndex.build(vectors(spark, sf), IndexConfig(kind="flat"))
+    return sampled(spark, sf, index.search).withColumn("score", r6(F.col("score")))
+
+
+query(None, "index_ivf_recall")(lambda spark, sf: _index_recall(spark, sf, "ivf"))
+query(None, "index_hnsw_recall")(lambda spark, sf: _index_recall(spark, sf, "hnsw"))
+
+
 @query("SELECT 'flat' AS kind, count(*) AS vectors, sum(16 + 4 * len(embedding))::BIGINT AS bytes, 0::BIGINT AS lists FROM embeddings")
 def index_auto_stats(spark: SparkSession, sf: str) -> DataFrame:
     return VectorIndex.build(vectors(spark, sf)).stats()

@@ -75,6 +75,12 @@ def test_clustered_recall(spark):
         assert sum(r.recall for r in rows) / len(rows) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["index_ivf_recall", "index_hnsw_recall"])
+def test_every_index_kind_reaches_its_recall(spark, name):
+    rows = catalogue.QUERIES[name](spark, DATA.replace("sf0.001", "sf0.1")).collect()
+    assert len(rows) == 20 and sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
 @pytest.mark.parametrize("gone", [("arrowfen/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
 def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
     copy = tmp_path / "repo"
