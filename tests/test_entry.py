@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -92,4 +93,5 @@ def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
         elif target.exists():
             target.unlink()
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_cosine' in q and 'pipeline' not in q and e.oracle_sql(); import bench"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": f"{copy}:{REPO}"})
