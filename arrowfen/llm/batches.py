@@ -1,17 +1,37 @@
-"""Sizes of the batches that Python workers receive."""
+"""Parts of Arrow batches, bounded by bytes.
+
+Spark bounds the batches that it sends to Python by
+``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set). What Python
+makes of a batch takes several times its bytes, so operators on texts work on
+smaller parts of it, which share its memory.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+
+#: Bytes of texts in a part; a longer text is a part of its own.
+PART_BYTES = 4 << 20
+
 
-SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of long texts in a batch; Spark's own default would let one batch of them take gigabytes.
-RECORDS, DEFAULT = 1000, 10_000
+def _sizes(column: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, len(column) + 1 + column.offset)
+    return np.diff(offsets[column.offset :])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, for use right before ``mapInArrow``: lowers the session's batch size if it has the default."""
-    conf = df.sparkSession.conf
-    if int(conf.get(SETTING, str(DEFAULT))) in (0, DEFAULT):
-        conf.set(SETTING, str(RECORDS))
-    return df
+def parts(batches: Iterable[pa.RecordBatch], column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, cut where the texts of ``column`` (string or binary) exceed ``most`` bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(_sizes(batch.column(column)), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(first, last - first)
+            first = last

@@ -12,10 +12,10 @@ SALTS = 16
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Adds ``m``, the least of ``u`` and all its ``v``; a hot ``u`` is salted."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Adds ``m``, the least of ``u`` and all its ``v``; a hot ``u`` is salted, one copy for each salt that its edges have."""
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts"))
+    spread = least.select("u", F.least("u", "m").alias("m"), F.explode("salts").alias("salt"))
     return dealt.join(spread, ["u", "salt"]).select("u", "v", "m")
 
 

@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import small
+from .batches import parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose encodings a worker remembers, and characters that it encodes at once.
+#: Words whose encodings a worker remembers, and bytes of texts that it encodes at once.
 REMEMBERED, CHUNK = 250_000, 1 << 20
 #: Pairs of pieces of which a worker remembers whether they stay apart.
 PAIRS = 1_000_000
@@ -204,58 +204,49 @@ def _loaded(model: bytes) -> Pieces:
     return _LOADED[hash(model)]
 
 
-def _chunks(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column, some at a time; only those are Python strings at once."""
-    part, size = [], 0
-    for value in column:
-        part.append(value.as_py() or "")
-        size += len(part[-1])
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids, exact) for every row of ``docs`` (doc_id, text, ...).
 
     ``exact`` tells whether decoding the ids gives the text back; a mark
     U+2581 in the text reads back as a space, as in any such model. Null and
-    empty texts have no pieces. Null ids and repeated rows are rows like any
-    other; an empty table gives an empty table. The driver reads the model and
-    ships it to the workers.
+    empty texts have no pieces. Texts are encoded whole, however long. Null
+    ids and repeated rows are rows like any other; an empty table gives an
+    empty table. The driver reads the model and ships it to the workers.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for batch in batches:
-            first = 0
-            for texts in _chunks(batch.column(1)):
-                ids = pieces.encode(texts)
-                exact = [pieces.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
-                sizes = [len(i) for i in ids]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                flat = pa.array(np.concatenate(ids), pa.int32())
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "exact"])
-                first += len(texts)
+        for batch in parts(batches, 1, CHUNK):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = pieces.encode(texts)
+            exact = [pieces.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+            sizes = [len(i) for i in ids]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            flat = pa.array(np.concatenate(ids), pa.int32())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "exact"])
         pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
-    return small(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
 
 def decoded(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """(doc_id, text) of a table (doc_id, ids, ...); null ids give null."""
+    """(doc_id, text) of a table (doc_id, ids, ...), the texts of ``encoded``'s ids.
+
+    Null ids give null, no ids the empty text; ids whose bytes are no UTF-8
+    give replacement characters. Texts are rebuilt one at a time, however
+    long. Null doc_ids and repeated rows are rows like any other; an empty
+    table gives an empty table.
+    """
     with open(model_path, "rb") as f:
         model = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
         for batch in batches:
-            texts = [None if v is None else pieces.decode(v) for v in batch.column(1).to_pylist()]
+            texts = [pieces.decode(v.as_py()) if v.is_valid else None for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return small(rows.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -2,27 +2,31 @@
 
 Base spans follow fixed rules and always stay. Beyond them the method proposes
 spans that those rules miss - a card or phone number that runs into another
-number, account numbers, national phone and identity numbers - and keeps those
-whose score, raised by a passed checksum and by context words nearby, reaches
-the threshold.
+number, account numbers, national phone and identity numbers, access secrets -
+and keeps those whose score reaches the threshold. A passed checksum and
+context words nearby raise a score; words that speak of something else, such
+as an order number, lower it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import small
+from .batches import parts
 
 #: In the order in which spans with the same start are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 THRESHOLD = 0.7
+#: What context words for a kind add to a score, and words against it take away.
+RAISE, LOWER = 0.35, 0.3
 #: Characters before and after a span in which context words count.
 REACH = 48
 
@@ -33,7 +37,21 @@ CONTEXT = {
     "iban": "iban account bank transfer compte virement konto überweisung cuenta transferencia bic swift",
     "ssn": "ssn social security",
 }
-CONTEXT_WORDS = {kind: re.compile(r"(?<!\w)(?:" + "|".join(words.split()) + r")(?!\w)", re.IGNORECASE) for kind, words in CONTEXT.items()}
+# Words that speak against a kind of span nearby.
+AGAINST = {
+    "ip": "version release build section chapter",
+    "card": "isbn order invoice tracking serial sku ticket bestellnummer commande pedido",
+    "phone": "isbn order invoice tracking serial sku ticket version bestellnummer commande pedido",
+    "iban": "serial sku part",
+    "ssn": "isbn order invoice serial sku part ticket",
+}
+
+
+def _words(words: str) -> re.Pattern:
+    return re.compile(r"(?<!\w)(?:" + "|".join(words.split()) + r")(?!\w)", re.IGNORECASE)
+
+
+FOR_KIND, AGAINST_KIND = {k: _words(w) for k, w in CONTEXT.items()}, {k: _words(w) for k, w in AGAINST.items()}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -49,6 +67,7 @@ CARD_RUN = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{
 PHONE_RUN = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 PHONE_HOME = re.compile(r"(?<![0-9+)(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key))[\"']?\s{0,4}[=:]\s{0,4}[\"']([A-Za-z0-9+/_.=-]{12,512})[\"']")
 
 
 class Span(NamedTuple):
@@ -116,13 +135,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _near(text: str, kind: str, start: int, end: int) -> bool:
-    words = CONTEXT_WORDS[kind]
-    return bool(words.search(text[max(0, start - REACH) : start]) or words.search(text[end : end + REACH]))
+def scored(text: str, kind: str, start: int, end: int, score: float) -> float:
+    """The score of a span after a look at the words around it; 0 to 1."""
+    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
+    for words, change in ((FOR_KIND.get(kind), RAISE), (AGAINST_KIND.get(kind), -LOWER)):
+        if words and (words.search(before) or words.search(after)):
+            score += change
+    return round(min(1.0, max(0.0, score)), 6)
 
 
 def _proposed(text: str) -> Iterator[tuple[int, int, int, float]]:
     """(start, kind's rank, end, score before context) of what the base rules may miss."""
+    if '"' in text or "'" in text:
+        for m in SECRET.finditer(text):
+            yield m.start(1), 6, m.end(1), 0.8
+    if not DIGIT.search(text):
+        return
     for m in CARD_RUN.finditer(text):
         if luhn(d := re.sub("[ -]", "", m[0])):
             yield m.start(), 2, m.end(), 0.8 if issued(d) else 0.5
@@ -144,41 +172,65 @@ def _proposed(text: str) -> Iterator[tuple[int, int, int, float]]:
 
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
-    """All spans of a text, base spans first among equals, by start and kind.
+    """All spans of a text, base spans and added ones, by start and kind.
 
-    A proposal is dropped if it overlaps an accepted span of its kind, or any
-    other base span. Offsets count code points, ends are exclusive.
+    Added are the proposals that reach the threshold, best first, but for those
+    that overlap an accepted span of their kind or lie inside any accepted span.
+    Spans of different kinds may overlap: an account number stays beside a card
+    number that its digits happen to form. Offsets count code points, ends are
+    exclusive. Null and empty texts have none; texts are read whole.
     """
     if not text:
         return []
-    found = base_spans(text)
-    if not DIGIT.search(text):
-        return found
-    taken = [(s.start, s.end) for s in found]
+    found = [s._replace(score=scored(text, s.kind, s.start, s.end, s.score)) for s in base_spans(text)]
     added = []
     for start, rank, end, score in _proposed(text):
-        if KINDS[rank] in CONTEXT and _near(text, KINDS[rank], start, end):
-            score = min(1.0, score + 0.35)
+        score = scored(text, KINDS[rank], start, end, score)
         if score >= threshold:
             added.append(Span(start, rank, end, False, score))
+    held = {rank: _Ranges(s for s in found if s.rank == rank) for rank in range(len(KINDS))}
     for s in sorted(added, key=lambda s: (-s.score, s)):
-        if not any(a < s.end and s.start < b for a, b in taken):
-            taken.append((s.start, s.end))
+        if not held[s.rank].overlaps(s) and not any(r.covers(s) for r in held.values()):
+            held[s.rank].add(s)
             found.append(s)
     return sorted(found)
 
 
+class _Ranges:
+    """Disjoint spans in order."""
+
+    def __init__(self, spans: Iterable[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s in spans:
+            self.add(s)
+
+    def add(self, s: Span) -> None:
+        k = bisect_right(self.starts, s.start)
+        self.starts.insert(k, s.start)
+        self.ends.insert(k, s.end)
+
+    def overlaps(self, s: Span) -> bool:
+        k = bisect_left(self.starts, s.end)
+        return k > 0 and self.ends[k - 1] > s.start
+
+    def covers(self, s: Span) -> bool:
+        k = bisect_right(self.starts, s.start)
+        return k > 0 and self.ends[k - 1] >= s.end
+
+
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) for every row of ``docs``.
 
-    Counts and the digest are of base spans, ``spans`` lists all. A null or
-    empty text has none. Null ids and repeated rows are rows like any other;
-    an empty table gives an empty table.
+    Counts and the digest are of base spans, ``spans`` lists all, ties of start
+    by kind. A null or empty text has none; texts are read whole, however long.
+    Null ids and repeated rows are rows like any other; an empty table gives an
+    empty table.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             out: list[list] = [[] for _ in range(7)]
             for value in batch.column(1):
                 spans = find(value.as_py(), threshold)
@@ -192,7 +244,7 @@ def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             columns = [batch.column(0), *map(pa.array, out, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return small(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -208,12 +260,18 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every span of ``text`` masked; ``n_chars``, if there, follows the texts that change."""
+    """``docs`` with every span of ``text`` masked; ``n_chars``, if there, follows the texts that change.
+
+    Overlapping spans are masked as one, by the kind of the first. Null and
+    empty texts and texts without spans stay as they are, as do all other
+    columns; texts are read whole, however long. Repeated rows and null ids are
+    rows like any other; an empty table gives an empty table.
+    """
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_at):
             columns = list(batch.columns)
             changed: dict[int, str] = {}
             for k, value in enumerate(columns[text_at]):
@@ -226,4 +284,4 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     columns[chars_at] = pa.array([len(changed[k]) if k in changed else v for k, v in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return small(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import small
 from .components import components
 from .scratch import stored
 
@@ -63,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(fps)], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return small(rows).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _leaders(n: int, generator: int) -> tuple[np.ndarray, int]:
@@ -169,12 +168,14 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     Threshold is even. The edges are stars, not all pairs. A popular anchor is
     linked through the words within threshold / 2 of its fingerprints: two
     fingerprints share such a word if and only if they are near, and at most
-    2081 (for threshold 2: 65) fingerprints lie around one word.
+    2081 (for threshold 2: 65) fingerprints lie around one word. Repeated
+    fingerprints count once, zero is one like any other; null ones link to
+    nothing; an empty table gives no edges.
     """
     if threshold % 2 or not 0 <= threshold <= 4:
         raise ValueError("threshold must be 0, 2 or 4")
     radius = threshold // 2
-    single = fps.select("fp").distinct()
+    single = fps.select("fp").where("fp is not null").distinct()
     held = stored(single.mapInArrow(_replicas(radius), "anchor long, fp long"))
     sizes = stored(held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     shared = held.join(sizes, "anchor")
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE,
     ``fingerprint`` is 16 hex digits over the text's word shingles (a shorter
     text: its words). Rows whose fingerprints differ in at most ``threshold``
     bits are linked, and ``component_id`` is the least doc_id of the linked
-    group. Null and empty texts have fingerprint zero and link like any other.
+    group. Texts count whole, however long. Null and empty texts have fingerprint zero and link like any other.
     A null doc_id is kept; it is the component's id only if all are null.
     Repeated rows stay. An empty table gives an empty table.
     """
