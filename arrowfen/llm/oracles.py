@@ -29,13 +29,15 @@ f AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     len(lines) AS n_lines, coalesce(n_repeat, 0) AS n_repeat_words
   FROM d JOIN l USING (r) LEFT JOIN p USING (r)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines) AS bad FROM b GROUP BY source),
+a AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+b AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines AS rule_failed FROM a),
+s AS (SELECT source, count(*) AS n, count(*) FILTER (rule_failed) AS bad FROM b GROUP BY source),
 m AS (SELECT sum(bad) / sum(n) AS mean, coalesce(var_samp(bad / n), 0) AS spread, avg(1 / n) AS small FROM s),
 k AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread - small * mean * (1 - mean), 1e-6) - 1, 1), 1000) AS weight FROM m),
-q AS (SELECT source, n, weight, (bad + mean * weight) / (n + weight) AS rate FROM s, k),
-v AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 0.5 AS host_bad FROM q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR host_bad) AS kept
+q AS (SELECT source, n, weight, mean, (bad + mean * weight) / (n + weight) AS rate FROM s, k),
+u AS (SELECT source, mean, rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) AS sure FROM q),
+v AS (SELECT source, sure > 0.5 AS rejected, sure > 1.5 * mean AS suspect FROM u)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected OR suspect AND rule_failed) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 

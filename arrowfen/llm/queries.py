@@ -58,7 +58,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).drop("text_hash")
+    return judged(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -71,7 +71,6 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(table(spark, sf_dir, "conversations"))
 
 
-
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
