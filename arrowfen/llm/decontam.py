@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 WINDOW = 13
 #: Bytes of windows that one broadcast holds; more windows are joined block by block.
 BLOCK_BYTES = 32 << 20
@@ -66,8 +68,12 @@ def _prefixes(held: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text_hash, start, len, items): each place of a document where a window occurs, counted in words from 0."""
-    held = windows(items, size)
+    """(doc_id, text_hash, start, len, items): each place of a document where a window occurs, counted in words from 0.
+
+    Null and empty texts have no places; texts are read whole, however long;
+    repeated rows repeat their places; an empty benchmark or table gives none.
+    """
+    held = stored(windows(items, size))
     total = held.agg(F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))

@@ -14,7 +14,9 @@ BROADCAST_ROWS = 1_000_000
 def listed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` that ``keys`` (doc_id, text_hash) lists (left_semi) or doesn't (left_anti).
 
-    A row is known by its doc_id, null included, and the hash of its text.
+    A row is known by its doc_id, null included, and the hash of its text, null
+    and empty ones included; repeated rows share a verdict. Empty keys keep
+    nothing or everything; an empty table gives an empty table.
     """
     right = stored(keys.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
     if right.count() <= BROADCAST_ROWS:
@@ -26,8 +28,9 @@ def listed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of ``groups`` (doc_id, text_hash, component_id), which lists every row.
 
-    The row with the least doc_id stays, null ids last; of rows with the same
-    id and text any one.
+    The row with the least doc_id stays, null ids last, ties by the hash of the
+    text; of rows with the same id and text any one. Null and empty texts are
+    grouped as ``groups`` says; an empty table gives an empty table.
     """
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     held = groups.select(F.col("component_id").alias("group"), own.alias("own"))
