@@ -89,6 +89,9 @@ class AppConfig:
     search: SearchConfig = field(default_factory=SearchConfig)
     limits: Limits = field(default_factory=Limits)
     checkpoint_every: int = 1000
+    checkpoint_seconds: int | None = None
+    retain_seconds: int = 3600
+    least_free_bytes: int = 0
     cache_rows: int = 10_000
     cache_bytes: int | None = None
     execution: str = "auto"
@@ -103,6 +106,8 @@ class AppConfig:
             raise ConfigError("recall_target must be in (0, 1]")
         if self.checkpoint_every < 1 or self.cache_rows < 1:
             raise ConfigError("checkpoint_every and cache_rows must be at least 1")
+        if self.retain_seconds < 0 or self.least_free_bytes < 0 or self.checkpoint_seconds is not None and self.checkpoint_seconds < 1:
+            raise ConfigError("retain_seconds and least_free_bytes must not be negative, checkpoint_seconds must be at least 1")
 
     def shown(self) -> dict:
         return asdict(self)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system of a path."""
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    stream = filesystem(spark, path).open(hadoop_path(spark, path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless it is there; of several writers at once one succeeds."""
+    fs, where = filesystem(spark, path), hadoop_path(spark, path)
+    if fs.getUri().getScheme() == "file":  # whose create() may overwrite
+        local = where.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        draft = f"{os.path.dirname(local)}/_{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError:
+        if fs.exists(where):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True

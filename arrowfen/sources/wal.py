@@ -10,12 +10,12 @@ SCHEMA = "type string, seq long, id string, vector array<float>, text string, me
 ENTRY = ("type", "seq", "id", "vector", "text", "metadata", "timestamp")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Entries of a table (value) of log lines, batch or streaming; a header of another version raises."""
-    entries = lines.where(F.trim("value") != "").select(F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+def parsed(lines: DataFrame, *keep: str) -> DataFrame:
+    """Entries of a table (value) of log lines, batch or streaming, with its columns ``keep``; a header of another version raises."""
+    entries = lines.where(F.trim("value") != "").select(*keep, F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("e")).select(*keep, "e.*")
     known = F.col("version").isNull() | (F.col("version") == VERSION)
     checked = entries.withColumn("version", F.when(known, F.col("version")).otherwise(F.raise_error(F.lit("unknown log version")).cast("int")))
-    return checked.where("version is null").select(*ENTRY)
+    return checked.where("version is null").select(*keep, *ENTRY)
 
 
 def read_wal(spark: SparkSession, path: str, min_seq: int = -1) -> DataFrame:

@@ -1,13 +1,15 @@
 import math
+import threading
+import time
 
 import pytest
 
 from arrowfen.config import AppConfig, Limits
-from arrowfen.errors import ConfigError, EmbeddingError, InvalidRequestError, NotFoundError
+from arrowfen.errors import ConfigError, EmbeddingError, InvalidRequestError, NotFoundError, StorageError
 from arrowfen.functions import embed as E
 from arrowfen.functions import telemetry as T
 from arrowfen.operators import mutate
-from arrowfen.sources.store import Catalogue
+from arrowfen.sources.store import Catalogue, Collection
 from arrowfen.sources.wal import read_wal, replayed, write_wal
 from arrowfen.streaming.wal_stream import merge_log, merged_rows, windowed_counts
 
@@ -34,7 +36,7 @@ def test_life_of_a_collection(spark, tmp_path):
     c.insert(rows(spark, ("a", [1, 2], "first", "{}"), ("b", [3, 4], "second", None)))
     assert state(cat.get("docs")) == {"a": ([1, 2], "first", "{}"), "b": ([3, 4], "second", None)}
     c.upsert(rows(spark, ("b", [5, 6], "new", "{}"), ("c", [7, 8], "third", None)))
-    log = {(r.type, r.id) for r in read_wal(spark, f"{c.path}/wal").collect()}
+    log = {(r.type, r.id) for r in c.log().collect()}
     assert log == {("Insert", "a"), ("Insert", "b"), ("Update", "b"), ("Insert", "c")}
     assert c.delete(rows(spark, ("a", [0, 0], "", None), ("zz", [0, 0], "", None))) == 1
     before = state(c)
@@ -68,7 +70,94 @@ def test_automatic_checkpoint(spark, tmp_path):
     c = Catalogue(spark, str(tmp_path), AppConfig(checkpoint_every=2)).get_or_create("x")
     for k in range(5):
         c.insert(rows(spark, (f"r{k}", [k, k], "t", None)))
-    assert len(c._versions()) > 1 and len(state(c)) == 5
+    kinds = [x["type"] for x in c.commits()]
+    assert kinds.count("Checkpoint") > 1 and len(state(c)) == 5
+    timed = Catalogue(spark, str(tmp_path), AppConfig(checkpoint_seconds=1)).get_or_create("y")
+    timed.insert(rows(spark, ("a", [1], "t", None)))
+    time.sleep(1.2)
+    timed.insert(rows(spark, ("b", [1], "t", None)))
+    assert [x["type"] for x in timed.commits()][-1] == "Checkpoint" and len(state(timed)) == 2
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    Catalogue(spark, root).get_or_create("x")
+    errors = []
+
+    def write(k):
+        try:
+            c = Collection(spark, root, "x", AppConfig(checkpoint_every=2))
+            c.lock = threading.RLock()  # as if in a process of its own
+            for j in range(3):
+                c.upsert(rows(spark, (f"{k}-{j}", [k, j], "t", None)))
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    c = Collection(spark, root, "x")
+    numbers = [x["seq"] for x in c.commits()]
+    assert not errors and set(state(c)) == {f"{k}-{j}" for k in range(4) for j in range(3)} and numbers == list(range(1, len(numbers) + 1))
+
+
+def test_a_write_during_a_checkpoint_stays(spark, tmp_path):
+    c = Catalogue(spark, str(tmp_path)).get_or_create("x")
+    c.insert(rows(spark, ("a", [1], "t", None)))
+    inner, late = c._rows, rows(spark, ("b", [2], "t", None))
+
+    def slow(known):
+        found = inner(known)
+        if not any(x["type"] == "Batch" and x["seq"] > known.seq for x in c.commits()) and known.seq == 2:
+            other = Collection(spark, str(tmp_path), "x")
+            other.insert(late)
+        return found
+
+    c._rows = slow
+    c.checkpoint()
+    del c._rows
+    assert set(state(c)) == {"a", "b"}
+    c.vacuum(0)
+    assert set(state(c)) == {"a", "b"} and c.compact()["live"] == 2
+
+
+def test_record_is_kept(spark, tmp_path):
+    c = Catalogue(spark, str(tmp_path), AppConfig(retain_seconds=0)).get_or_create("x")
+    first = c.record()
+    assert first.dimensions is None and first.version == 2 and first.created_at == first.updated_at and state(c) == {}
+    c.insert(rows(spark, ("a", [1, 2], "t", None)))
+    assert c.delete(rows(spark, ("a", [0], "", None))) == 1 and c.dimensions() == 2  # stays without rows
+    with pytest.raises(Exception, match="invalid vector"):
+        c.insert(rows(spark, ("b", [1, 2, 3], "t", None)))
+    c.insert(rows(spark, ("b", [1, 2], "t", None), ("c", [3, 4], "u", None)))
+    assert c.update(spark.createDataFrame([("b", '{"k":1}'), ("zz", "{}")], "id string, metadata string"), "metadata") == 1
+    assert c.update(spark.createDataFrame([("c", [9.0, 9.0])], "id string, vector array<float>"), "vector") == 1
+    stats = c.compact()
+    assert stats["live"] == 2 and stats["removed"] > 0 and c.used_bytes() > 0 and c.log_bytes() == 0
+    assert state(c) == {"b": ([1, 2], "t", '{"k":1}'), "c": ([9, 9], "u", None)}
+    after = c.record()
+    assert (after.dimensions, after.created_at, after.version) == (2, first.created_at, 2) and after.updated_at >= first.updated_at
+    assert {x.getPath().getName() for x in c._listed("snapshots")} == {after.snapshot} and c._listed("wal") == []
+
+
+def test_corrupt_files_are_reported(spark, tmp_path):
+    cat = Catalogue(spark, str(tmp_path))
+    c = cat.get_or_create("x")
+    c.insert(rows(spark, ("a", [1], "t", None)))
+    c.checkpoint()
+    (tmp_path / "x" / "snapshots" / c.record().snapshot / "_SUCCESS").unlink()
+    with pytest.raises(StorageError, match="complete"):
+        c.rows()
+    (tmp_path / "x" / "commits" / "000000000009.json").write_text("{broken")
+    with pytest.raises(StorageError, match="corrupt"):
+        c.rows()
+    assert [h["ok"] for h in cat.health()] == [False]
+    (tmp_path / "y" / "commits").mkdir(parents=True)
+    (tmp_path / "y" / "commits" / "000000000001.json").write_text('{"type": "Create", "version": 1, "at": 0}')
+    with pytest.raises(StorageError, match="version"):
+        cat.get("y").rows()
 
 
 def test_mutations_of_tables(spark):
