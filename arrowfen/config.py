@@ -71,10 +71,16 @@ class IndexConfig:
         metric_name(self.metric)
 
     def choose(self, n: int) -> str:
+        """The kind for n rows by the thresholds."""
         if self.kind != "auto":
             return self.kind
         return "flat" if n < self.flat_below else "ivf" if n < self.ivf_below else "hnsw"
 
+    def access_path(self, n: int) -> str:
+        """The kind that is built: as ``choose``, but a graph only where it is asked for, as clustered lists serve batches faster here."""
+        kind = self.choose(n)
+        return "ivf" if kind == "hnsw" and self.kind == "auto" else kind
+
 
 @dataclass(frozen=True)
 class Limits:

@@ -81,10 +81,10 @@ def lloyd_step(base: DataFrame, centroids: np.ndarray, metric: str | None = None
 
 
 def train(base: DataFrame, k: int, iterations: int = 10, metric: str | None = None, id: str = "id", vector: str = "vector") -> np.ndarray:
-    """Centroids by Lloyd's iterations from the k lowest ids."""
+    """Centroids by Lloyd's iterations from the k lowest ids, at most as many as the driver may hold."""
+    first = base.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    k = max(1, min(k, MOST_CELLS // max(1, first[0] if first else 1)))
     name, now = metric_name(metric), seeds(base, k, id, vector)
-    if now.size > MOST_CELLS:
-        raise ValueError("too many centroids for the driver")
     for _ in range(iterations):
         before, now = now, lloyd_step(base, now, name, vector)
         if all(scores(a[None], b[None], name)[0, 0] >= CONVERGED for a, b in zip(before, now)):

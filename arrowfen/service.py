@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-import shutil
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .config import AppConfig, load_config, metric_name, search_config
+from .config import AppConfig, SearchConfig, load_config, metric_name, search_config
 from .errors import ArrowfenError, InvalidRequestError, NotFoundError, UnavailableError
 from .functions.embed import Embedder
 from .functions.telemetry import average_step, vector_bytes
 from .functions.vector import MAX_TEXT_BYTES, check_batch_size, normalized
 from .operators.dedup import pairs_above, pairs_of_neighbours
-from .operators.ivf import IvfIndex, auto_parameters
-from .operators.knn import knn, knn_batch
+from .operators.knn import knn
+from .sources.indexed import build_index, opened_index
+from .sources.indexed import search as indexed_search
+from .sources.shared import filesystem, hadoop_path
 from .sources.store import ROW, Catalogue, Collection
 
 Route = tuple[str, re.Pattern, Callable]
@@ -44,8 +46,9 @@ def route(method: str, path: str) -> Callable:
 
 
 def metadata_text(value: dict | None) -> str:
-    """A JSON object with scalar fields only; arrays and objects are dropped."""
-    return json.dumps({k: v for k, v in (value or {}).items() if not isinstance(v, (list, dict))})
+    """A JSON object of scalars and arrays of scalars; an object, or an array inside an array, becomes null."""
+    plain = lambda v: None if isinstance(v, (list, dict)) else v
+    return json.dumps({k: [plain(x) for x in v] if isinstance(v, list) else plain(v) for k, v in (value or {}).items()})
 
 
 class Service:
@@ -57,9 +60,9 @@ class Service:
         self.latency: dict[str, list[int]] = {}
         self.embeds = {"requests": 0, "texts": 0, "tokens": 0}
         self.jobs: dict[str, str] = {}
-        self.indexes: dict[str, IvfIndex] = {}
+        self.threads: dict[str, threading.Thread] = {}
         self.slow: list[tuple[str, int]] = []
-        self.read_only = False
+        self.read_only = self.stopping = False
 
     def handle(self, method: str, path: str, body: dict | None = None) -> tuple[int, Any]:
         """(status, answer); library errors become their status."""
@@ -82,11 +85,47 @@ class Service:
         return 404, {"error": "no such route"}
 
     def _writable(self, name: str) -> Collection:
-        if self.read_only:
-            raise UnavailableError("the service is read-only")
-        self.indexes.pop(name, None)
+        if self.read_only or self.stopping:
+            raise UnavailableError("the service is shutting down" if self.stopping else "the service is read-only")
+        if self.config.least_free_bytes and self.free_bytes() < self.config.least_free_bytes:
+            raise UnavailableError("too little disk space is left to write")
         return self.catalogue.get_or_create(name)
 
+    def free_bytes(self) -> int:
+        """What the file system of the collections has left."""
+        root = self.catalogue.root
+        return filesystem(self.spark, root).getStatus(hadoop_path(self.spark, root)).getRemaining()
+
+    def shutdown(self) -> None:
+        """Refuses further writes and waits for running rebuilds."""
+        self.stopping = True
+        for thread in list(self.threads.values()):
+            thread.join()
+
+    def rebuild(self, name: str) -> str:
+        """Starts building the index of a collection, unless that runs already; the job's status."""
+        c = self.catalogue.get(name)
+        if self.jobs.get(name) != "running":
+            self.jobs[name] = "running"
+
+            def run() -> None:
+                try:
+                    build_index(c)
+                    self.jobs[name] = "completed"
+                except Exception:  # noqa: BLE001  the status tells
+                    self.jobs[name] = "failed"
+
+            self.threads[name] = threading.Thread(target=run, daemon=True)
+            self.threads[name].start()
+        return self.jobs[name]
+
+    def opened(self, name: str) -> Collection:
+        """A collection to search; where its settings name an index that it lacks, one is built meanwhile."""
+        c = self.catalogue.get(name)
+        if name not in self.jobs and c.index_commit() is None and self.config.index.kind in ("ivf", "hnsw"):
+            self.rebuild(name)
+        return c
+
     def _rows(self, items: list[tuple[str, list[float], str, str]], unit: bool = False) -> DataFrame:
         if any(not t or len(t.encode()) > MAX_TEXT_BYTES for _, _, t, _ in items):
             raise InvalidRequestError(f"a text has 1 to {MAX_TEXT_BYTES} bytes")
@@ -101,13 +140,24 @@ class Service:
         return vector
 
     def _query(self, name: str, query: list[float], body: dict) -> list[dict]:
-        c = self.catalogue.get(name)
-        search_config(self.config.search, body.get("preset"), body.get("ef"), body.get("nprobe"), body.get("overfetch"))
+        c, k = self.opened(name), int(body.get("k", 10))
+        settings = search_config(self.config.search, body.get("preset"), body.get("ef"), body.get("nprobe"), body.get("overfetch"))
         d = c.dimensions()
         if d is not None and d != len(query):
             raise InvalidRequestError(f"the query has {len(query)} dimensions, the collection {d}")
-        hits = knn(c.rows(), query, int(body.get("k", 10)), body.get("metric"))
-        return [shown(r) for r in hits.drop("vector").collect()]
+        index = c.index_commit()
+        if index is None or index["kind"] == "flat":
+            return [shown(r) for r in knn(c.rows(), query, k, body.get("metric")).drop("vector").collect()]
+        asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "q_id long, vector array<double>")
+        return self.hits(c, asked, k, body.get("metric"), settings).get(0, [])
+
+    def hits(self, c: Collection, asked: DataFrame, k: int, metric: str | None, settings: SearchConfig) -> dict[int, list[dict]]:
+        """The results of each query, with text and metadata."""
+        found = indexed_search(c, asked, k, metric, settings)
+        out: dict[int, list[dict]] = {}
+        for r in F.broadcast(found).join(c.rows().drop("vector"), "id").orderBy("q_id", "rank").collect():
+            out.setdefault(r.q_id, []).append({x: v for x, v in shown(r).items() if x not in ("q_id", "rank")})
+        return out
 
 
 def shown(row: Any) -> dict:
@@ -131,9 +181,9 @@ def health_embeddings(s: Service, body: dict) -> dict:
 
 @route("GET", "/readyz")
 def readyz(s: Service, body: dict) -> dict:
-    found = s.catalogue.health()
-    free = shutil.disk_usage("/").free
-    return {"ok": all(x["ok"] for x in found), "collections": found, "disk_free_bytes": free}
+    found, free = s.catalogue.health(), s.free_bytes()
+    ready = all(x["ok"] for x in found) and not s.stopping and free >= s.config.least_free_bytes
+    return {"ok": ready, "collections": found, "log_bytes": sum(x.get("log_bytes", 0) for x in found), "disk_free_bytes": free, "read_only": s.read_only}
 
 
 @route("GET", "/metrics")
@@ -177,7 +227,7 @@ def collection(s: Service, body: dict, c: str) -> dict:
 
 @route("DELETE", "/collections/{c}")
 def drop(s: Service, body: dict, c: str) -> dict:
-    s.indexes.pop(c, None)
+    s.jobs.pop(c, None)
     return {"deleted": s.catalogue.get(c).drop()}
 
 
@@ -188,25 +238,19 @@ def count(s: Service, body: dict, c: str) -> dict:
 
 @route("GET", "/collections/{c}/index/stats")
 def index_stats(s: Service, body: dict, c: str) -> dict:
-    rows = s.catalogue.get(c).rows()
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(vector_bytes()), F.lit(0))).first()
-    index = s.indexes.get(c)
-    lists = {r.cid: r.n for r in index.sizes().collect()} if index else {}
-    return {"kind": s.config.index.choose(n), "vectors": n, "bytes": size, "lists": lists}
+    own = s.catalogue.get(c)
+    index, changes = opened_index(own)
+    lists = {r.cid: r.n for r in index.ivf.sizes().collect()} if index.ivf else {}
+    known = index.stats().first().asDict()
+    return {**known, "lists": lists, "pending": 0 if changes is None else changes.count(), "wanted": own.config.index.choose(known["vectors"])}
 
 
 @route("POST", "/collections/{c}/index/rebuild")
 def rebuild(s: Service, body: dict, c: str) -> dict:
-    s.jobs[c] = "running"
-    try:
-        rows = s.catalogue.get(c).rows()
-        n, own = rows.count(), s.config.index
-        if own.choose(n) != "flat" and n:
-            s.indexes[c] = IvfIndex.build(rows, min(n, own.clusters or auto_parameters(n)[0]), own.iterations, own.metric)
-        s.jobs[c] = "completed"
-    except Exception:
-        s.jobs[c] = "failed"
-        raise
+    """Builds in the background; with ``wait``, until it is done."""
+    s.rebuild(c)
+    if body.get("wait"):
+        s.threads[c].join()
     return {"status": s.jobs[c]}
 
 
@@ -219,7 +263,12 @@ def rebuild_status(s: Service, body: dict, c: str) -> dict:
 
 @route("POST", "/collections/{c}/compact")
 def compact(s: Service, body: dict, c: str) -> dict:
-    return s.catalogue.get(c).compact()
+    """Also rebuilds the index, if there is one."""
+    own = s._writable(c)
+    stats = own.compact()
+    if own.index_commit() is not None:
+        s.rebuild(c)
+    return stats
 
 
 @route("POST", "/collections/{c}/duplicates")
@@ -255,7 +304,7 @@ def insert(s: Service, body: dict, c: str) -> dict:
 @route("DELETE", "/collections/{c}/vectors")
 def delete_batch(s: Service, body: dict, c: str) -> dict:
     check_batch_size(len(body["ids"]))
-    s.catalogue.get(c)
+    s.catalogue.get(c)  # a missing one isn't made
     return {"deleted": s._writable(c).delete(s.spark.createDataFrame([(i,) for i in set(body["ids"])], "id string"))}
 
 
@@ -289,10 +338,11 @@ def search(s: Service, body: dict, c: str) -> Any:
         return s._query(c, body["vector"], body)
     check_batch_size(len(body["vectors"]))
     metric_name(body.get("metric"))
-    rows = s.catalogue.get(c).rows()
+    own = s.opened(c)
+    settings = search_config(s.config.search, body.get("preset"), body.get("ef"), body.get("nprobe"), body.get("overfetch"))
     asked = s.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(body["vectors"])], "q_id long, vector array<double>")
-    found = knn_batch(rows, asked, int(body.get("k", 10)), body.get("metric")).join(rows.drop("vector"), "id").orderBy("q_id", "rank").collect()
-    return [[{k: v for k, v in shown(r).items() if k not in ("q_id", "rank")} for r in found if r.q_id == i] for i in range(len(body["vectors"]))]
+    found = s.hits(own, asked, int(body.get("k", 10)), body.get("metric"), settings)
+    return [found.get(i, []) for i in range(len(body["vectors"]))]
 
 
 @route("POST", "/collections/{c}/search/range")

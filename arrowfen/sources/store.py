@@ -17,7 +17,7 @@ import threading
 import time
 import uuid
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from ..config import AppConfig
 from ..errors import InvalidRequestError, NotFoundError, StorageError
 from ..operators.mutate import checked, limit_violations, row_bytes
 from .shared import filesystem, hadoop_path, read_text, write_new
-from .wal import parsed, replayed, write_wal
+from .wal import last_entries, parsed, replayed, write_wal
 
 ROW = "id string, vector array<float>, text string, metadata string"
 NAME = re.compile(r"[\w-]{1,255}\Z")
@@ -219,9 +219,10 @@ class Collection:
         known = self.record()
         before = 1000 * (time.time() - (self.config.retain_seconds if older_than is None else older_than))
         checkpoints = [c["seq"] for c in self.commits() if c["type"] == "Checkpoint" and c["snapshot"] == known.snapshot]
-        needed = {f"batch={b}" for b, _ in known.batches} | {known.snapshot} | {f"{c:012d}.json" for c in checkpoints}
+        index = self.index_commit() or {"index": None, "seq": 0}
+        needed = {f"batch={b}" for b, _ in known.batches} | {known.snapshot, index["index"]} | {f"{c:012d}.json" for c in [*checkpoints, index["seq"]]}
         gone = 0
-        for folder in ("wal", "snapshots", "commits"):
+        for folder in ("wal", "snapshots", "indexes", "commits"):
             for status in self._listed(folder):
                 name = status.getPath().getName()
                 number = re.fullmatch(r"(\d+)\.json", name)
@@ -230,6 +231,20 @@ class Collection:
                 gone += bool(self.fs.delete(status.getPath(), True))
         return gone
 
+    def index_commit(self) -> dict | None:
+        """The commit of the newest index: its folder, kind, metric, and the number up to which it holds."""
+        return max((c for c in self.commits() if c["type"] == "Index"), key=lambda c: (c["upto"], c["seq"]), default=None)
+
+    def changes_since(self, seq: int) -> DataFrame | None:
+        """(id, e): the last entry of each row that changed after commit ``seq``; None if some commits are gone."""
+        later = [c for c in self.commits() if c["seq"] > seq]
+        if [c["seq"] for c in later] != list(range(seq + 1, seq + 1 + len(later))):
+            return None
+        batches = tuple((c["batch"], c["seq"]) for c in later if c["type"] == "Batch")
+        if any(not self.fs.exists(self._at("wal", f"batch={b}")) for b, _ in batches):
+            return None
+        return last_entries(self.log(replace(self.record(), batches=batches)))
+
     def compact(self) -> dict:
         """A fresh snapshot in few files, and ``vacuum``; log entries that come meanwhile stay."""
         known = self.record()

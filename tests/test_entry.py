@@ -58,7 +58,7 @@ def test_graph_recall(spark):
 
 def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     want = {r.id for r in catalogue.vectors(spark, DATA).where("id % 100 = 0").collect()}
-    for name in ("knn_batch_sampled", "knn_batch_l2_sampled", "ivf_search_np1_sampled", "ivf_search_full_sampled", "hnsw_recall", "hnsw_tombstones_sampled"):
+    for name in ("knn_batch", "knn_batch_l2", "ivf_search_np1", "ivf_search_full", "hnsw_recall", "hnsw_tombstones", "hnsw_filtered", "index_auto_search"):
         assert {r.q_id for r in catalogue.QUERIES[name](spark, DATA).select("q_id").collect()} == want
     passages = {r.item_id for r in catalogue.table(spark, DATA, "benchmark").collect()}
     assert {r.q_id for r in catalogue.QUERIES["text_search_hashed"](spark, DATA).collect()} == passages

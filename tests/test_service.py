@@ -1,10 +1,12 @@
 import json
+import math
 import threading
 import urllib.request
 import uuid
 
 import pytest
 
+from arrowfen.config import AppConfig, IndexConfig
 from arrowfen.functions.embed import mock
 from arrowfen.functions.sql import register
 from arrowfen.service import ROUTES, Service, serve
@@ -23,7 +25,7 @@ def test_requests(service):
     status, one = ask("POST", "/collections/docs/vectors", {"vector": [3, 4], "text": "first", "metadata": {"k": 1, "l": [1]}, "normalize": True})
     assert status == 200
     got = ask("GET", f"/collections/docs/vectors/{one['id']}")[1]
-    assert got["vector"] == pytest.approx([0.6, 0.8]) and got["metadata"] == {"k": 1}
+    assert got["vector"] == pytest.approx([0.6, 0.8]) and got["metadata"] == {"k": 1, "l": [1]}
     status, many = ask("POST", "/v1/collections/docs/vectors", {"vectors": [[1, 0], [0, 1]], "texts": ["second", "third"]})
     assert status == 200 and many["count"] == 2 and ask("GET", "/collections/docs/count")[1] == {"count": 3}
     assert len(ask("GET", "/collections/docs/vectors?limit=2&offset=1")[1]) == 2
@@ -40,7 +42,9 @@ def test_requests(service):
     assert ask("POST", "/collections/docs/upsert", {"id": "nonsense", "vector": [1, 1], "text": "x"})[0] == 400
     pairs = ask("POST", "/collections/docs/duplicates", {"threshold": 0.99})[1]
     assert len(pairs) == 1 and pairs[0]["score"] == pytest.approx(1)
-    assert ask("POST", "/collections/docs/index/rebuild")[1] == {"status": "completed"} == ask("GET", "/collections/docs/index/rebuild/status")[1]
+    assert ask("GET", "/collections/docs/index/rebuild/status")[0] == 404
+    assert ask("POST", "/collections/docs/index/rebuild")[1]["status"] in ("running", "completed")
+    assert ask("POST", "/collections/docs/index/rebuild", {"wait": True})[1] == {"status": "completed"} == ask("GET", "/collections/docs/index/rebuild/status")[1]
     assert ask("GET", "/collections/docs/index/stats")[1]["kind"] == "flat"
     assert ask("DELETE", f"/collections/docs/vectors/{own}")[1] == {"deleted": True} and ask("DELETE", "/collections/docs/vectors", {"ids": [own]})[1] == {"deleted": 0}
     assert ask("POST", "/collections/docs/compact")[1]["live"] == 3
@@ -48,9 +52,38 @@ def test_requests(service):
     service.read_only = True
     assert ask("POST", "/collections/docs/vectors", {"vector": [1, 0], "text": "x"})[0] == 503
     service.read_only = False
+    service.config = AppConfig(least_free_bytes=1 << 62)
+    assert ask("POST", "/collections/docs/vectors", {"vector": [1, 0], "text": "x"})[0] == 503 and not ask("GET", "/readyz")[1]["ok"]
+    service.config = AppConfig()
     assert ask("DELETE", "/collections/docs")[1] == {"deleted": True} and ask("GET", "/collections/docs")[0] == 404
 
 
+@pytest.mark.parametrize("kind", ["ivf", "hnsw"])
+def test_searches_go_through_the_index(spark, tmp_path, kind):
+    config = AppConfig(index=IndexConfig(kind=kind, clusters=4))
+    service = Service(spark, str(tmp_path), config)
+    ask = lambda m, p, b=None: service.handle(m, f"/api{p}", b)[1]
+    angle = lambda i: [math.cos(i / 7), math.sin(i / 7)]
+    ids = ask("POST", "/collections/a/vectors", {"vectors": [angle(i) for i in range(40)], "texts": [f"t{i}" for i in range(40)], "metadata_list": [{"i": i} for i in range(40)]})["ids"]
+    texts = lambda **b: [h["text"] for h in ask("POST", "/collections/a/search", {"vector": angle(10), "k": 3, **b})]
+    assert texts() == ["t10", "t9", "t11"]  # and the missing index is built meanwhile
+    assert ask("POST", "/collections/a/index/rebuild", {"wait": True}) == {"status": "completed"}
+    stats = ask("GET", "/collections/a/index/stats")
+    assert (stats["kind"], stats["vectors"], stats["pending"], sum(stats["lists"].values())) == (kind, 40, 0, 40 if kind == "ivf" else 0)
+    assert texts(nprobe=4, ef=40) == ["t10", "t9", "t11"]
+    if kind == "ivf":
+        assert len(texts(preset="fast", k=40)) < 40 == len(texts(nprobe=4, k=40))  # one list, all lists
+    ask("DELETE", f"/collections/a/vectors/{ids[9]}")
+    ask("POST", "/collections/a/upsert", {"id": ids[30], "vector": angle(10.1), "text": "moved"})
+    assert texts(nprobe=4) == ["t10", "moved", "t11"] and ask("GET", "/collections/a/index/stats")["pending"] == 2
+    other = Service(spark, str(tmp_path), config)  # opened again: the index is there
+    assert [h["text"] for h in other.handle("POST", "/api/collections/a/search", {"vectors": [angle(10), angle(20)], "k": 1, "nprobe": 4})[1][1]] == ["t20"] and "a" not in other.jobs
+    assert ask("POST", "/collections/a/compact")["live"] == 39
+    service.shutdown()
+    assert service.jobs["a"] == "completed" and ask("GET", "/collections/a/index/stats")["pending"] == 0 and texts(nprobe=4) == ["t10", "moved", "t11"]
+    assert service.handle("POST", "/api/collections/a/vectors", {"vector": [1, 0], "text": "x"})[0] == 503
+
+
 def test_texts_and_server(service):
     service.handle("POST", "/api/collections/t/embed", {"texts": ["aa", "bbbb", "c" * 9]})
     found = service.handle("POST", "/api/collections/t/search/text", {"query": "xxxxx", "k": 1, "metric": "euclidean"})
