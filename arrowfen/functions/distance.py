@@ -87,3 +87,9 @@ def score(a: Column, b: Column, metric: str | None = None, binary: bool = False)
     if binary:
         return {"cosine": binary_cosine, "dot": binary_dot, "euclidean": lambda a, b: 1 / (1 + binary_euclidean(a, b))}[metric](a, b)
     return {"cosine": cosine, "dot": dot, "euclidean": euclidean_score}[metric](a, b)
+
+
+def index_distance(a: Column, b: Column, metric: str | None = None) -> Column:
+    """What an index walks by, lower is nearer: 1 less the cosine or the dot product, or the Euclidean distance."""
+    name = metric_name(metric)
+    return euclidean(a, b) if name == "euclidean" else 1 - (dot(a, b) if name == "dot" else cosine(a, b))

@@ -8,6 +8,8 @@ are known, or a VARIANT, whose values carry their types.
 
 from __future__ import annotations
 
+import json
+import numbers
 import operator
 from collections.abc import Iterable
 from functools import reduce
@@ -101,3 +103,35 @@ def scalars_of(variant: Column, field: str, kind: type) -> Column:
 def flat_json(json: Column) -> Column:
     """A JSON object's scalar fields as a map of JSON texts; arrays and objects are dropped."""
     return F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: v.isNull() | ~v.rlike(r"^\s*[\[{]"))
+
+
+def metadata_value(value: Any) -> Any:
+    """A value as metadata hold it: a string, whole number, float, boolean, null, or an array of such values."""
+    if value is None or isinstance(value, (bool, str)):
+        return value
+    if isinstance(value, numbers.Integral):
+        if not -(1 << 63) <= value < 1 << 63:
+            raise InvalidRequestError(f"{value} has more than 64 bits")
+        return int(value)
+    if isinstance(value, numbers.Real):
+        return float(value)
+    if isinstance(value, (list, tuple)):
+        return [metadata_value(v) for v in value]
+    raise InvalidRequestError(f"metadata don't take {type(value).__name__}")
+
+
+def metadata(*pairs: tuple[str, Any], **fields: Any) -> dict[str, Any]:
+    """Metadata of (key, value) pairs and keywords; a later key replaces an earlier one."""
+    return {str(k): metadata_value(v) for k, v in (*pairs, *fields.items())}
+
+
+def metadata_json(values: dict[str, Any]) -> str:
+    """Metadata as JSON; an array or null inside an array becomes null."""
+    inner = lambda v: [None if isinstance(x, list) else x for x in v] if isinstance(v, list) else v
+    return json.dumps({k: inner(metadata_value(v)) for k, v in values.items()}, ensure_ascii=False)
+
+
+def json_arrays(variant: Column, field: str) -> Column:
+    """An array field of a VARIANT as JSON texts, elements that are no scalars as null."""
+    items = F.try_variant_get(variant, f"$.{field}", "array<variant>")
+    return F.transform(items, lambda x: F.when(~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT|VOID)"), F.to_json(x)))

@@ -114,3 +114,8 @@ MODEL_DIMENSIONS = {
 
 def model_dimensions(model: Column) -> Column:
     return F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("m"), F.lit(d).alias("d")) for k, d in MODEL_DIMENSIONS.items()]), lambda x: x["m"] == model), F.lit(0))["d"]
+
+
+def quantized_dimensions(q: Column, kind: str = "int8") -> Column:
+    """How many components a quantised vector has: its codes, or what block codes declare."""
+    return q["dim"] if kind == "block" else F.size(q["codes"])

@@ -729,13 +729,6 @@ def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "event_type")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT (SELECT count(*) FROM w) AS raw, (SELECT count(*) FROM ({REPLAY_SQL % ''})) AS live")
-def compact_stats(spark: SparkSession, sf: str) -> DataFrame:
-    log = events(spark, sf)
-    sizes = log.select(F.lit(1).alias("raw"), F.lit(0).alias("live")).union(replayed(log).select(F.lit(0), F.lit(1)))
-    return sizes.agg(F.sum("raw").alias("raw"), F.sum("live").alias("live"))
-
-
 # telemetry
 
 
@@ -813,3 +806,6 @@ def uuid_ids(spark: SparkSession, sf: str) -> DataFrame:
     ids = vectors(spark, sf).select(F.expr("uuid()").alias("u"))
     good = F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
     return ids.agg(F.count("*").alias("n"), F.countDistinct("u").alias("fresh"), F.bool_and(good).alias("well_formed"))
+
+
+from . import lifecycle  # noqa: E402, F401  registers its queries

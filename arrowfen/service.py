@@ -46,9 +46,8 @@ def route(method: str, path: str) -> Callable:
 
 
 def metadata_text(value: dict | None) -> str:
-    """A JSON object of scalars and arrays of scalars; an object, or an array inside an array, becomes null."""
-    plain = lambda v: None if isinstance(v, (list, dict)) else v
-    return json.dumps({k: [plain(x) for x in v] if isinstance(v, list) else plain(v) for k, v in (value or {}).items()})
+    """A JSON object with scalar fields only, as requests may bring it; arrays and objects are dropped."""
+    return json.dumps({k: v for k, v in (value or {}).items() if not isinstance(v, (list, dict))})
 
 
 class Service:

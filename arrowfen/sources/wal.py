@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -51,3 +51,25 @@ def replayed(entries: DataFrame, base: DataFrame | None = None, key: str = "id",
         return alive
     kept = base.join(last.select(key), key, "left_anti")
     return kept.unionByName(alive.select(*[c for c in base.columns]))
+
+
+def log_offsets(entries: DataFrame, order: str = "seq", ranges: int = 256) -> DataFrame:
+    """(order, offset, length) of each entry's log line in one file; the next line begins where the last one ends.
+
+    Offsets are sums over ranges of ``order``, a long, plus sums within a range, so no task holds the whole log.
+    """
+    have = [c for c in ENTRY if c in entries.columns]
+    lines = entries.select(order, (F.octet_length(F.to_json(F.struct(*have))) + 1).cast("long").alias("length"))
+    low, high = lines.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    lines = lines.withColumn("_r", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = lines.groupBy("_r").agg(F.sum("length").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = lines.withColumn("_own", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    return own.join(F.broadcast(before), "_r").select(order, (F.col("_before") + F.col("_own")).alias("offset"), "length")
+
+
+def used_bytes(offsets: DataFrame) -> DataFrame:
+    """One row: used_bytes, where the next line begins."""
+    return offsets.agg(F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0)).alias("used_bytes"))

@@ -52,7 +52,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_graph_recall(spark):
-    rows = catalogue.QUERIES["hnsw_recall"](spark, DATA).collect()
+    rows = catalogue.QUERIES["index_hnsw_recall"](spark, DATA).collect()
     assert sum(r.recall for r in rows) / len(rows) >= 0.95
 
 
@@ -66,8 +66,26 @@ def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     sizes = []
     catalogue.in_batches(asked, lambda some: sizes.append(some.count()) or some, apart=100)
     assert sizes == [10_000, 10_000, 5_000]
-    rows = catalogue.QUERIES["hnsw_tombstones_sampled"](spark, DATA).collect()
-    assert sum(r.recall for r in rows) / len(rows) >= 0.95
+    assert all(r.reached for r in catalogue.QUERIES["hnsw_tombstones"](spark, DATA).collect())
+
+
+def test_text_search_equals_brute_force(spark):
+    import numpy as np
+
+    from arrowfen.functions.embed import hashing
+
+    embed = hashing(64)
+    docs = {r.doc_id: np.array(embed(r.text)[0], np.float32).astype(float) for r in catalogue.table(spark, DATA, "documents").collect() if r.text is not None}
+    got = {}
+    for r in catalogue.QUERIES["text_search_hashed"](spark, DATA).collect():
+        got.setdefault(r.q_id, {})[r["rank"]] = r.id
+    ids, rows = np.array(list(docs)), np.array(list(docs.values()))
+    for r in catalogue.table(spark, DATA, "benchmark").collect():
+        q = np.array(embed(r.text)[0], np.float32).astype(float)
+        lengths = np.linalg.norm(rows, axis=1) * np.linalg.norm(q)
+        value = np.round(np.divide(rows @ q, lengths, out=np.zeros(len(rows)), where=lengths > 0), 9)
+        mine = [value[np.flatnonzero(ids == got[r.item_id][k])[0]] for k in range(1, 11)]
+        assert mine == sorted(value, reverse=True)[:10]
 
 
 def test_clustered_recall(spark):
