@@ -28,9 +28,9 @@ PIVOT_ROWS, PIVOT_CELLS = 20_000, 4_000_000
 SLACK = 1e-6
 
 
-def _grid(base: DataFrame, id: str, vector: str, block_rows: int, least_blocks: int) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in."""
-    blocks = max(least_blocks, -(-base.count() // block_rows))
+def _grid(base: DataFrame, n: int, id: str, vector: str, block_rows: int, least_blocks: int) -> DataFrame:
+    """Each of n rows once for every pair of blocks that its own block is in."""
+    blocks = max(least_blocks, -(-n // block_rows))
     rows = base.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("vector"))
     own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -150,7 +150,8 @@ def pairs_above(base: DataFrame, threshold: float = 0.95, metric: str | None = N
     compares all pairs, and so does a threshold of zero or less.
     """
     name, kind = metric_name(metric), _id_type(base, id)
-    if name != "dot" and threshold > 0 and (n := base.count()) >= pivot_rows:
+    n = base.count()
+    if name != "dot" and threshold > 0 and n >= pivot_rows:
         return _meet(base, threshold, name, id, vector, block_rows, n)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -165,7 +166,7 @@ def pairs_above(base: DataFrame, threshold: float = 0.95, metric: str | None = N
         to = pa.string() if kind == "string" else pa.int64()
         return pa.table({"id_a": pa.array(low.tolist(), to), "id_b": pa.array(high.tolist(), to), "score": worth[keep]})
 
-    return _grid(base, id, vector, block_rows, blocks).groupBy("i", "j").applyInArrow(run, f"id_a {kind}, id_b {kind}, score double")
+    return _grid(base, n, id, vector, block_rows, blocks).groupBy("i", "j").applyInArrow(run, f"id_a {kind}, id_b {kind}, score double")
 
 
 def neighbour_count(n: int, k: int | None = None, limit: int | None = None) -> int:
@@ -179,7 +180,8 @@ def pairs_of_neighbours(base: DataFrame, threshold: float = 0.95, metric: str |
 
     A row counts among its own nearest. With ``limit``, the best pairs only.
     """
-    name, kind, most = metric_name(metric), _id_type(base, id), neighbour_count(base.count(), k, limit)
+    name, kind, n = metric_name(metric), _id_type(base, id), base.count()
+    most = neighbour_count(n, k, limit)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a, va, b, vb = _split(key, table)
@@ -192,7 +194,7 @@ def pairs_of_neighbours(base: DataFrame, threshold: float = 0.95, metric: str |
         x, y, s = zip(*out) if out else ((), (), ())
         return pa.table({"id": pa.array(list(x), to), "other": pa.array(list(y), to), "score": pa.array(list(s), pa.float64())})
 
-    near = _grid(base, id, vector, block_rows, blocks).groupBy("i", "j").applyInArrow(run, f"id {kind}, other {kind}, score double")
+    near = _grid(base, n, id, vector, block_rows, blocks).groupBy("i", "j").applyInArrow(run, f"id {kind}, other {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "other"))
     kept = near.withColumn("r", rank).where((F.col("r") <= most) & (F.col("id") != F.col("other")) & (F.col("score") >= threshold))
     pairs = kept.groupBy(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).agg(F.max("score").alias("score"))

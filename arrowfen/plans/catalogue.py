@@ -72,9 +72,11 @@ def first_vector(spark: SparkSession, sf: str) -> list[float]:
 
 def in_batches(asked: DataFrame, search: Callable[[DataFrame], DataFrame], q_id: str = "q_id", apart: int = 1) -> DataFrame:
     """``search`` of all of ``asked``, MAX_BATCH at a time at most; ids are whole numbers at least ``apart`` apart."""
+    if asked.count() <= MAX_BATCH:
+        return search(asked)
     part = F.floor(F.col(q_id) / (apart * MAX_BATCH))
     parts = [r[0] for r in asked.select(part.alias("p")).distinct().orderBy("p").collect()]
-    return reduce(DataFrame.unionByName, [search(asked.where(part == n)) for n in parts]) if parts else search(asked)
+    return reduce(DataFrame.unionByName, [search(asked.where(part == n)) for n in parts])
 
 
 def sampled(spark: SparkSession, sf: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:

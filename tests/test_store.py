@@ -1,3 +1,4 @@
+import json
 import math
 import threading
 import time
@@ -194,6 +195,21 @@ def test_log_replay_and_stream_agree(spark, tmp_path):
         read_wal(spark, f"{tmp_path}/wal").collect()
 
 
+def test_stream_rewrites_touched_parts_only(spark, tmp_path):
+    log, state = f"{tmp_path}/wal", f"{tmp_path}/state"
+    want = {}
+    for k in range(6):
+        entries = [("Insert" if k == 0 else "Update", 100 * k + i, f"id{i}", f"{k}") for i in (range(40) if k == 0 else [k])]
+        write_wal(spark.createDataFrame(entries, "type string, seq long, id string, text string"), log)
+        merge_log(spark, log, state, f"{tmp_path}/ck", parts=8).awaitTermination()
+        want |= {i: t for _, _, i, t in entries}
+        assert {r.id: r.text for r in merged_rows(spark, state).collect()} == want
+    last = max((tmp_path / "state" / "manifests").glob("*.json"), key=lambda p: int(p.stem))
+    folders = json.loads(last.read_text())["folders"]
+    assert len(folders) == 8 and len(set(folders.values())) > 2  # parts of several batches
+    assert len(list((tmp_path / "state" / "manifests").glob("*.json"))) == 3
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     events = spark.range(200).selectExpr("timestamp_seconds(id * 7200) AS ts", "concat('e', id % 3) AS kind")
     events.repartition(2).write.parquet(f"{tmp_path}/e")
