@@ -14,27 +14,62 @@ def average_step(average: int, n: int, x: int) -> int:
     return (average * n + x) // (n + 1) if n < 5 else (4 * average + x) // 5
 
 
-def latency_average(samples: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """(by, n, average) of samples in order; each key's fold streams over sorted rows and keeps two numbers."""
-    kind = samples.schema[by].dataType
+#: Samples from which a key's average is folded from its last ones, about TAIL; keys that are broadcast at most.
+HOT, TAIL, MOST_KEYS = 100_000, 2_000, 1_000_000
+
+
+def _folded(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """(by, n, low, high): each key's averages folded from its bounds ``_low`` and ``_high`` after ``_before`` samples; two numbers are kept."""
+    kind = rows.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, average, started, out = None, 0, 0, False, []
+        key, n, low, high, started, out = None, 0, 0, 0, False, []
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, x, before, first, last in zip(*(c.to_pylist() for c in batch.columns)):
                 if not started or k != key:
                     if started:
-                        out.append((key, n, average))
-                    key, n, average, started = k, 0, 0, True
-                average, n = average_step(average, n, x), n + 1
+                        out.append((key, n, low, high))
+                    key, n, low, high, started = k, before, first, last, True
+                low, high, n = average_step(low, n, x), average_step(high, n, x), n + 1
         if started:
-            out.append((key, n, average))
-        columns = zip(*out) if out else ((), (), ())
-        types = [pa.string() if kind.simpleString() == "string" else pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[by, "n", "average"])
-
-    rows = samples.where(F.col(value).isNotNull()).repartition(by).sortWithinPartitions(by, *order)
-    return rows.select(by, F.col(value).cast("long")).mapInArrow(run, f"{by} {kind.simpleString()}, n bigint, average bigint")
+            out.append((key, n, low, high))
+        columns = zip(*out) if out else ((), (), (), ())
+        types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[by, "n", "low", "high"])
+
+    dealt = rows.repartition(by).sortWithinPartitions(by, *order)
+    return dealt.select(by, value, "_before", "_low", "_high").mapInArrow(run, f"{by} {kind}, n bigint, low bigint, high bigint")
+
+
+def latency_average(samples: DataFrame, by: str, order: list[str], value: str, hot: int = HOT, tail: int = TAIL) -> DataFrame:
+    """(by, n, average) of samples in order.
+
+    Of a key with more than ``hot`` samples only the last ones are folded,
+    once from the least and once from the greatest average that the others can
+    have left: each step brings the two nearer, and where they meet the others
+    don't matter. Where they don't, the key is folded whole. The first column
+    of ``order`` is a number or a time; null values don't count.
+    """
+    rows = samples.where(F.col(value).isNotNull()).select(by, *order, F.col(value).cast("long").alias("_x"))
+    whole = lambda some: some.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("_before", "_low", "_high")])
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most")).where((F.col("_n") > hot) & F.col(by).isNotNull())
+    large = counts.limit(MOST_KEYS + 1).collect()
+    if not large or len(large) > MOST_KEYS:
+        return _folded(whole(rows), by, order, "_x").select(by, "n", F.col("low").alias("average"))
+    keys = F.broadcast(rows.sparkSession.createDataFrame(large, counts.schema))
+    own = rows.join(keys, by)
+    cut = own.groupBy(by).agg(F.percentile_approx(order[0], F.array(*[F.lit(1 - tail / (4**k * hot)) for k in range(8)]), 100_000).alias("_cuts"))
+    # of the cuts the one that leaves about ``tail`` samples of a key of this size
+    place = F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.log2(F.col("_n") / hot) / 2).cast("int")))
+    cuts = F.broadcast(cut.join(keys, by).select(by, F.get("_cuts", place).alias("_cut")))
+    late = own.join(cuts, by).where(F.col(order[0]) >= F.col("_cut"))
+    kept = F.broadcast(late.groupBy(by).agg(F.count("*").alias("_kept")))
+    late = late.join(kept, by).select(by, *order, "_x", (F.col("_n") - F.col("_kept")).alias("_before"), F.col("_least").alias("_low"), F.col("_most").alias("_high"))
+    ends = _folded(late, by, order, "_x").collect()  # a row for each large key
+    met = [r for r in ends if r.low == r.high]
+    done = rows.sparkSession.createDataFrame([(r[by], r.n, r.low) for r in met], f"{by} {rows.schema[by].dataType.simpleString()}, n bigint, average bigint")
+    rest = rows.join(F.broadcast(done.select(by)), by, "left_anti")
+    return _folded(whole(rest), by, order, "_x").select(by, "n", F.col("low").alias("average")).unionByName(done)
 
 
 def embedding_totals(calls: DataFrame, *by: str) -> DataFrame:

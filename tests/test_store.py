@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import threading
 import time
 
@@ -260,6 +261,17 @@ def test_telemetry(spark):
     df = spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)] + [("j", 0, 5)], "op string, i int, us long").repartition(3)
     assert {r.op: (r.n, r.average) for r in T.latency_average(df, "op", ["i"], "us").collect()} == {"k": (8, average), "j": (1, 5)}
     assert 10_000 < T.average_step(10_000, 1, 20_000) < 20_100
+    pick = random.Random(4)
+    every = {"a": [pick.randrange(10**6) for _ in range(3000)], "b": [7] * 2500, "c": [5, 6], "d": [pick.randrange(5) for _ in range(2100)]}
+    want = {}
+    for k, values in every.items():
+        average = 0
+        for n, x in enumerate(values):
+            average = T.average_step(average, n, x)
+        want[k] = (len(values), average)
+    many = spark.createDataFrame([(k, i, x) for k, values in every.items() for i, x in enumerate(values)] + [("c", 9, None), (None, 1, 4)], "op string, i int, us long").repartition(5)
+    for hot, tail in ((2000, 300), (2000, 3), (10**6, 5)):
+        assert {r.op: (r.n, r.average) for r in T.latency_average(many, "op", ["i"], "us", hot, tail).collect()} == {**want, None: (1, 4)}
     sizes = spark.createDataFrame([("a", 10), ("b", 30), ("c", 20)], "name string, size long")
     evict = lambda budget: {r.name for r in T.evicted(sizes, "name", "size", budget).collect() if r.evict}
     assert evict(60) == set() and evict(35) == {"b"} and evict(29) == {"b", "c"} and evict(1) == {"a", "b", "c"}
