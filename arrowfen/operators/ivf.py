@@ -102,10 +102,16 @@ class IvfIndex:
     id: str = "id"
     vector: str = "vector"
     probes: dict[tuple[int, str], int] = field(default_factory=dict)
+    pending: int | None = None
 
     @staticmethod
     def build(base: DataFrame, k: int | None = None, iterations: int = 10, metric: str | None = None, id: str = "id", vector: str = "vector") -> IvfIndex:
-        k = auto_parameters(base.count())[0] if k is None else k
+        """``k`` lists, or as many as the rows call for; with fewer than ``k`` rows they wait without lists, and searches look at all."""
+        n = base.count()
+        wanted = auto_parameters(n)[0] if k is None else k
+        if k is not None and n < k:
+            return IvfIndex(np.zeros((0, 0)), base.withColumn("cid", F.lit(0).cast("bigint")), metric_name(metric), id, vector, pending=k)
+        k = min(wanted, max(n, 1))
         centroids = train(base, k, iterations, metric, id, vector)
         return IvfIndex(centroids, assigned(base, centroids, metric, vector), metric_name(metric), id, vector)
 
@@ -120,12 +126,14 @@ class IvfIndex:
         return IvfIndex(np.array([r.centroid for r in held], np.float64), rows, metric, id, vector)
 
     def insert(self, new: DataFrame) -> IvfIndex:
-        """With new rows in the clusters of frozen centroids; ids that are there already stay as they are."""
+        """With new rows in the clusters of frozen centroids; ids that are there already stay as they are. Waiting rows are clustered when there are enough."""
         fresh = new.join(self.rows.select(self.id), self.id, "left_anti").dropDuplicates([self.id])
+        if self.pending is not None:
+            return IvfIndex.build(self.rows.drop("cid").unionByName(fresh), self.pending, metric=self.metric, id=self.id, vector=self.vector)
         return IvfIndex(self.centroids, self.rows.unionByName(assigned(fresh, self.centroids, self.metric, self.vector)), self.metric, self.id, self.vector)
 
     def remove(self, ids: DataFrame) -> IvfIndex:
-        return IvfIndex(self.centroids, self.rows.join(ids.select(self.id).distinct(), self.id, "left_anti"), self.metric, self.id, self.vector)
+        return IvfIndex(self.centroids, self.rows.join(ids.select(self.id).distinct(), self.id, "left_anti"), self.metric, self.id, self.vector, pending=self.pending)
 
     def sizes(self) -> DataFrame:
         return self.rows.groupBy("cid").agg(F.count("*").alias("n"))

@@ -23,6 +23,7 @@ from ..functions import telemetry as T
 from ..functions import vector as V
 from ..service import Service
 from ..sources import indexed
+from ..sources.cache import RowCache
 from ..sources.shared import shared_path
 from ..sources.store import Catalogue, Collection
 from ..sources.wal import log_offsets, used_bytes
@@ -81,6 +82,15 @@ def store_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(c.rows())
 
 
+@query(LIVED_SQL.replace("label <> 4", "label NOT IN (4, 5)"))
+def store_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that were read into memory before label 5 was deleted: the cache follows."""
+    c, cache = lived(spark, sf), RowCache(rows=1 << 62)
+    cache.warm(c)
+    c.delete(documents(spark, sf).where("text = 't5'"))
+    return _shown(cache.rows(c))
+
+
 @query(f"WITH {ROWS_SQL} SELECT count(*) + count(*) FILTER (label BETWEEN 1 AND 4) AS raw, count(*) FILTER (label <> 4) AS live FROM r")
 def compact_stats(spark: SparkSession, sf: str) -> DataFrame:
     """What compaction reads, snapshot and log entries, and what it leaves."""

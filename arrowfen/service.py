@@ -28,6 +28,7 @@ from .functions.telemetry import average_step, vector_bytes
 from .functions.vector import MAX_TEXT_BYTES, check_batch_size, normalized
 from .operators.dedup import pairs_above, pairs_of_neighbours
 from .operators.knn import knn
+from .sources.cache import RowCache
 from .sources.indexed import build_index, opened_index
 from .sources.indexed import search as indexed_search
 from .sources.shared import filesystem, hadoop_path
@@ -56,6 +57,7 @@ class Service:
     def __init__(self, spark: SparkSession, root: str, config: AppConfig = AppConfig(), embedder: Embedder | None = None) -> None:
         self.spark, self.config, self.embedder = spark, config, embedder
         self.catalogue = Catalogue(spark, root, config)
+        self.cache = RowCache(config.cache_rows, config.cache_bytes)
         self.latency: dict[str, list[int]] = {}
         self.embeds = {"requests": 0, "texts": 0, "tokens": 0}
         self.jobs: dict[str, str] = {}
@@ -146,7 +148,7 @@ class Service:
             raise InvalidRequestError(f"the query has {len(query)} dimensions, the collection {d}")
         index = c.index_commit()
         if index is None or index["kind"] == "flat":
-            return [shown(r) for r in knn(c.rows(), query, k, body.get("metric")).drop("vector").collect()]
+            return [shown(r) for r in knn(self.cache.rows(c), query, k, body.get("metric")).drop("vector").collect()]
         asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "q_id long, vector array<double>")
         return self.hits(c, asked, k, body.get("metric"), settings).get(0, [])
 
@@ -206,6 +208,7 @@ def config(s: Service, body: dict) -> dict:
 def reload_config(s: Service, body: dict) -> dict:
     s.config = load_config(body.get("path"))
     s.catalogue.config = s.config
+    s.cache.most_rows, s.cache.most_bytes = s.config.cache_rows, s.config.cache_bytes
     return s.config.shown()
 
 
@@ -227,6 +230,7 @@ def collection(s: Service, body: dict, c: str) -> dict:
 @route("DELETE", "/collections/{c}")
 def drop(s: Service, body: dict, c: str) -> dict:
     s.jobs.pop(c, None)
+    s.cache.drop(s.catalogue.get(c))
     return {"deleted": s.catalogue.get(c).drop()}
 
 
@@ -260,6 +264,14 @@ def rebuild_status(s: Service, body: dict, c: str) -> dict:
     return {"status": s.jobs[c]}
 
 
+@route("POST", "/collections/{c}/warm")
+def warm(s: Service, body: dict, c: str) -> dict:
+    """Reads a collection into memory, where searches find it until it changes."""
+    own = s.catalogue.get(c)
+    s.cache.warm(own)
+    return {"cached": own.path in s.cache.held, "bytes": sum(s.cache.sizes().values())}
+
+
 @route("POST", "/collections/{c}/compact")
 def compact(s: Service, body: dict, c: str) -> dict:
     """Also rebuilds the index, if there is one."""

@@ -105,6 +105,15 @@ def test_clustered_index(spark, cloud, tmp_path):
     assert ivf.auto_parameters(100) == (10, 1, 10) and ivf.auto_parameters(100_000) == (316, 10, 10)
 
 
+def test_rows_wait_until_there_are_as_many_as_lists(spark, cloud):
+    df, v = cloud
+    queries = spark.createDataFrame([(1, v[1].tolist())], "q_id long, vector array<double>")
+    few = ivf.IvfIndex.build(df.where("id < 3"), 4)
+    assert len(few.centroids) == 0 and [r.id for r in few.search(queries, 1).collect()] == [1]
+    more = few.insert(df.where("id < 5"))
+    assert len(more.centroids) == 4 and more.rows.count() == 5 == sum(r.n for r in more.insert(df.where("id < 2")).sizes().collect())
+
+
 def test_clustered_index_probes_until_recall_is_reached(spark, cloud):
     df, v = cloud
     queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 600, 10)], "q_id long, vector array<double>")

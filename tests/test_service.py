@@ -84,6 +84,26 @@ def test_searches_go_through_the_index(spark, tmp_path, kind):
     assert service.handle("POST", "/api/collections/a/vectors", {"vector": [1, 0], "text": "x"})[0] == 503
 
 
+def test_cached_rows_follow_the_collection(spark, tmp_path):
+    service = Service(spark, str(tmp_path), AppConfig(cache_rows=3, cache_bytes=250))
+    ask = lambda m, p, b=None: service.handle(m, f"/api{p}", b)[1]
+    add = lambda c, t: ask("POST", f"/collections/{c}/vectors", {"vector": [1, len(t)], "text": t})
+    top = lambda c: [h["text"] for h in ask("POST", f"/collections/{c}/search", {"vector": [1, 9], "k": 1})]
+    add("a", "xx")
+    assert ask("POST", "/collections/a/warm")["cached"] and top("a") == ["xx"]
+    add("a", "x" * 9)
+    assert top("a") == ["x" * 9]  # another commit: read anew
+    seq = service.cache.held[service.catalogue.get("a").path].seq
+    assert seq == service.catalogue.get("a").last_seq()
+    for _ in range(2):
+        add("a", "y")
+    assert top("a") == ["x" * 9] and service.cache.held == {}  # four rows are too many
+    for c, n in (("b", 100), ("c", 150)):
+        add(c, "z" * n)
+        assert ask("POST", f"/collections/{c}/warm")["bytes"] <= 250
+    assert [p[-1] for p in service.cache.held] == ["b"]  # over budget the largest goes
+
+
 def test_texts_and_server(service):
     service.handle("POST", "/api/collections/t/embed", {"texts": ["aa", "bbbb", "c" * 9]})
     found = service.handle("POST", "/api/collections/t/search/text", {"query": "xxxxx", "k": 1, "metric": "euclidean"})
