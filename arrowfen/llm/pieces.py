@@ -227,7 +227,6 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
             flat = pa.array(np.concatenate(ids), pa.int32())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "exact"])
-        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, exact boolean")
 
