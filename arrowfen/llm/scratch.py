@@ -7,31 +7,14 @@ see plain scans, whose skewed partitions adaptive execution may split.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="arrowfen-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from ..sources.shared import filesystem, hadoop_path, shared_path
 
 
 def new_path(spark: SparkSession) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/arrowfen-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    return shared_path(spark, "arrowfen")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -46,7 +29,6 @@ def stored(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table of a frame that ``stored`` returned and nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_arrowfen_path", None)
+    path = getattr(df, "_arrowfen_path", None)
     if path:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        filesystem(df.sparkSession, path).delete(hadoop_path(df.sparkSession, path), True)
