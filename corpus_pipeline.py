@@ -14,7 +14,7 @@ from arrowfen.llm.hostrules import without_failing
 from arrowfen.llm.pieces import encoded
 from arrowfen.llm.pii import redacted
 from arrowfen.llm.rows import listed, one_of_each
-from arrowfen.llm.scratch import stored
+from arrowfen.llm.scratch import discard, stored
 from arrowfen.llm.simhash import near_duplicates
 
 
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each from the stored result of the one before."""
+    """All stages over ``documents``, each from the stored result of the one before, which then goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
