@@ -1,3 +1,3 @@
 """arrowfen: vector collections and similarity search on PySpark."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
