@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MAX_BATCH, IndexConfig, Limits, SearchConfig, search_config
+from ..errors import InvalidRequestError
 from ..functions import distance as D
 from ..functions import embed as E
 from ..functions import telemetry as T
@@ -72,8 +73,11 @@ def first_vector(spark: SparkSession, sf: str) -> list[float]:
 
 def in_batches(asked: DataFrame, search: Callable[[DataFrame], DataFrame], q_id: str = "q_id", apart: int = 1) -> DataFrame:
     """``search`` of all of ``asked``, MAX_BATCH at a time at most; ids are whole numbers at least ``apart`` apart."""
-    if asked.count() <= MAX_BATCH:
+    try:
         return search(asked)
+    except InvalidRequestError:  # too many for one batch
+        if asked.limit(MAX_BATCH + 1).count() <= MAX_BATCH:
+            raise
     part = F.floor(F.col(q_id) / (apart * MAX_BATCH))
     parts = [r[0] for r in asked.select(part.alias("p")).distinct().orderBy("p").collect()]
     return reduce(DataFrame.unionByName, [search(asked.where(part == n)) for n in parts])
@@ -432,6 +436,16 @@ def held(spark: SparkSession, sf: str, name: str, make: Callable[[str], None]) -
     return _HELD[key]
 
 
+_OPENED: dict[str, ivf.IvfIndex | graph.GraphIndex] = {}
+
+
+def opened(path: str, load: Callable) -> ivf.IvfIndex | graph.GraphIndex:
+    """The stored index at a path, which is loaded once."""
+    if path not in _OPENED:
+        _OPENED[path] = load(path)
+    return _OPENED[path]
+
+
 def lists16(spark: SparkSession, sf: str) -> ivf.IvfIndex:
     """A stored clustered index around the vectors of the 16 lowest ids."""
 
@@ -440,7 +454,7 @@ def lists16(spark: SparkSession, sf: str) -> ivf.IvfIndex:
         centroids = ivf.seeds(rows, 16)
         ivf.IvfIndex(centroids, ivf.assigned(rows, centroids)).save(path)
 
-    return ivf.IvfIndex.load(spark, held(spark, sf, "lists16", make))
+    return opened(held(spark, sf, "lists16", make), lambda path: ivf.IvfIndex.load(spark, path))
 
 
 for _name, _nprobe in (("ivf_search_np1", 1), ("ivf_search_full", 16)):
@@ -493,7 +507,8 @@ def select_index_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def graphs(spark: SparkSession, sf: str) -> graph.GraphIndex:
     """The stored graph index of all rows."""
-    return graph.GraphIndex.load(spark, held(spark, sf, "graphs", lambda path: graph.GraphIndex.build(vectors(spark, sf), path)))
+    path = held(spark, sf, "graphs", lambda path: graph.GraphIndex.build(vectors(spark, sf), path))
+    return opened(path, lambda path: graph.GraphIndex.load(spark, path))
 
 
 REACHED_SQL = "SELECT vec_id AS q_id, true AS reached FROM embeddings WHERE vec_id % 100 = 0"

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from arrowfen.functions.vector import check_batch_size
 from arrowfen.plans import catalogue
 
 REPO = Path(__file__).resolve().parent.parent
@@ -64,7 +65,13 @@ def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     assert {r.q_id for r in catalogue.QUERIES["text_search_hashed"](spark, DATA).collect()} == passages
     asked = spark.range(0, 2_500_000, 100).withColumnRenamed("id", "q_id")
     sizes = []
-    catalogue.in_batches(asked, lambda some: sizes.append(some.count()) or some, apart=100)
+
+    def search(some):
+        check_batch_size(n := some.count())
+        sizes.append(n)
+        return some
+
+    catalogue.in_batches(asked, search, apart=100)
     assert sizes == [10_000, 10_000, 5_000]
     assert all(r.reached for r in catalogue.QUERIES["hnsw_tombstones"](spark, DATA).collect())
 
