@@ -9,7 +9,8 @@ table, so an index is built once, and a search reads graphs, walks all queries
 through each of them at once, and merges the graphs' best rows; recall is at
 least that of a single graph. Removed rows are tombstones, which still guide
 walks; so do rows that a filter rejects, unless it leaves so few that they are
-compared directly.
+compared directly. An exact search goes on where its walk ends: rows at least as
+near as the last one found are looked up by products over the whole graph.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ GRAPH_BYTES, GRAPH_ROWS, BLOCK, TOGETHER = 32 << 20, 20_000, 1024, 256
 KEPT = 4
 #: Entries that a walk begins at, and how many times the beam's width the rows of a filter may be to be compared directly.
 STARTS, DIRECT = 16, 10
+#: Rounding of a product, as a share of the lengths, that the exact check allows for; rows within it are scored anew.
+SLACK = 1e-9
 
 
 class Graph:
@@ -120,10 +123,10 @@ class Graph:
         value[nodes < 0] = -np.inf
         return value
 
-    def search_many(self, queries: np.ndarray, k: int, ef: int = 200, allowed: np.ndarray | None = None) -> list[list[tuple]]:
+    def search_many(self, queries: np.ndarray, k: int, ef: int = 200, allowed: np.ndarray | None = None, exact: bool = False) -> list[list[tuple]]:
         """[(id, score)] of the k best live nodes for each query; ``allowed`` flags the nodes that may be results.
 
-        Where a filter leaves fewer than k results the walk is repeated with a wider beam.
+        Where a filter leaves fewer than k results the walk is repeated with a wider beam. ``exact`` adds what the walk missed.
         """
         alive = ~self.dead if allowed is None else ~self.dead & allowed
         wanted, out = min(k, int(alive.sum())), []
@@ -137,6 +140,8 @@ class Graph:
                 if width >= len(self.ids) or all(len(f) >= wanted for f in found):
                     break
                 width = min(4 * width, len(self.ids))
+            if exact and wanted and direct is None:
+                found = self._with_missed(block, found, alive, wanted)
             for q in range(len(block)):
                 nodes = found[q] if wanted else np.zeros(0, np.int64)
                 value = scores(self.vectors[nodes], block[q : q + 1], self.metric)[:, 0] if len(nodes) else np.zeros(0)
@@ -144,10 +149,32 @@ class Graph:
                 out.append([(self.ids[nodes[t]].item(), float(value[t])) for t in top])
         return out
 
+    def _asked(self, queries: np.ndarray) -> np.ndarray:
+        """The queries as walks compare them with ``base``."""
+        lengths = np.linalg.norm(queries, axis=1, keepdims=True)
+        return np.divide(queries, lengths, out=np.zeros_like(queries), where=lengths > 0) if self.metric == "cosine" else queries
+
+    def _with_missed(self, queries: np.ndarray, found: list[np.ndarray], alive: np.ndarray, wanted: int) -> list[np.ndarray]:
+        """``found`` and, by block products over all nodes, every live one as near as the last of the ``wanted`` best in it."""
+        query, nodes = self._asked(queries), np.flatnonzero(alive)
+        least = np.full(len(queries), -np.inf)
+        for q, some in enumerate(found):
+            if len(some) >= wanted:
+                worth = self.base[some] @ query[q] + self.bias[some]
+                least[q] = np.partition(worth, len(worth) - wanted)[len(worth) - wanted]
+        least -= SLACK * (np.abs(least) + np.linalg.norm(query, axis=1) * np.sqrt(np.einsum("ij,ij->i", self.base, self.base).max()) + np.abs(self.bias).max())
+        more: list[list[np.ndarray]] = [[some] for some in found]
+        for first in range(0, len(nodes), BLOCK):
+            own = nodes[first : first + BLOCK]
+            here, q = np.nonzero(self.base[own] @ query.T + self.bias[own][:, None] >= least)
+            order = np.argsort(q, kind="stable")
+            for n, some in zip(np.unique(q), np.split(own[here[order]], np.flatnonzero(np.diff(q[order])) + 1)):
+                more[n].append(some)
+        return [np.unique(np.concatenate(some)) for some in more]
+
     def _walk(self, queries: np.ndarray, ef: int, alive: np.ndarray, wanted: int) -> list[np.ndarray]:
         """For each query the live nodes among those that a best-first walk with a beam of ``ef`` scores: ``wanted`` or more of the best."""
-        n, lengths = len(queries), np.linalg.norm(queries, axis=1, keepdims=True)
-        query = np.divide(queries, lengths, out=np.zeros_like(queries), where=lengths > 0) if self.metric == "cosine" else queries
+        n, query = len(queries), self._asked(queries)
         rows, width = np.arange(n), min(STARTS, ef, len(self.entries))
         value = query @ self.base[self.entries].T + self.bias[self.entries]
         top = np.argpartition(-value, width - 1, axis=1)[:, :width]
@@ -311,8 +338,8 @@ class GraphIndex:
         some = self.members().join(allowed.select("id").distinct(), "id", "left_semi")
         return out.join(by_graph(some, "allowed"), "g").select("graph", "gone", "allowed")
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int = 200, q_id: str = "q_id", q_vector: str = "vector", allowed: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
-        """(q_id, rank, id, score) by all graphs; ``allowed`` (id) lists the rows that may be results, ``without`` those that may not."""
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 200, q_id: str = "q_id", q_vector: str = "vector", allowed: DataFrame | None = None, without: DataFrame | None = None, exact: bool = False) -> DataFrame:
+        """(q_id, rank, id, score) by all graphs; ``allowed`` (id) lists the rows that may be results, ``without`` those that may not; ``exact`` adds what walks missed."""
         ids, vectors = collected_queries(queries, q_id, q_vector)
         q_type, kind, filtered = _id_type(queries, q_id), self.id_type, allowed is not None
 
@@ -322,7 +349,7 @@ class GraphIndex:
                     graph = Graph.loaded(data.as_py())
                     graph.remove(gone.as_py() or [])
                     mask = np.isin(graph.ids, np.array(some.as_py())) if filtered else None
-                    found = [(q, i, s) for q, hits in zip(ids.tolist(), graph.search_many(vectors, k, ef, mask)) for i, s in hits]
+                    found = [(q, i, s) for q, hits in zip(ids.tolist(), graph.search_many(vectors, k, ef, mask, exact)) for i, s in hits]
                     qs, own, worth = zip(*found) if found else ((), (), ())
                     arrow = lambda t: pa.string() if t == "string" else pa.int64()
                     yield pa.RecordBatch.from_arrays([pa.array(list(qs), arrow(q_type)), pa.array(list(own), arrow(kind)), pa.array(list(worth), pa.float64())], names=["q_id", "id", "score"])

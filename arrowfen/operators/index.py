@@ -58,14 +58,15 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, search: SearchConfig = SearchConfig(), metric: str | None = None, q_id: str = "q_id", q_vector: str = "vector", allowed: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
         """(q_id, rank, id, score) for a batch of queries; ``allowed`` (id) lists the rows that may be results, ``without`` those that may not.
 
-        A graph is built for one metric; another one scans.
+        A graph is built for one metric; another one scans. An exact search looks at all lists, and at what a graph's walk missed.
         """
         metric = metric_name(metric or self.config.metric)
         if self.ivf is not None:
             own = replace(self.ivf, rows=self._only(self.ivf.rows, allowed, without))
-            return own.search(queries, k, search.nprobe or self.config.nprobe, q_id, q_vector, metric)
+            nprobe = len(own.centroids) if search.exact else search.nprobe or self.config.nprobe
+            return own.search(queries, k, nprobe, q_id, q_vector, metric)
         if self.graph is not None and metric == self.graph.metric:
-            return self.graph.search(queries, k, max(search.ef or self.config.ef, k), q_id, q_vector, allowed, without)
+            return self.graph.search(queries, k, max(search.ef or self.config.ef, k), q_id, q_vector, allowed, without, search.exact)
         return knn_batch(self._only(self.rows, allowed, without), queries, k, metric, self.id, self.vector, q_id, q_vector)
 
     def insert(self, new: DataFrame) -> VectorIndex:

@@ -526,10 +526,10 @@ def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_batch_sql(10, where="c.label = 3"))
 def hnsw_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph search among the rows that a filter leaves."""
+    """The graph search among the rows that a filter leaves, with the exact check."""
     rows = vectors(spark, sf)
     some = rows.where(Filter().eq("label", 3).column(rows))
-    return rounded(sampled(spark, sf, lambda asked: graphs(spark, sf).search(asked, 10, allowed=some)))
+    return rounded(sampled(spark, sf, lambda asked: graphs(spark, sf).search(asked, 10, allowed=some, exact=True)))
 
 
 def without_fours(spark: SparkSession, sf: str) -> graph.GraphIndex:

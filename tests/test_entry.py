@@ -57,6 +57,39 @@ def test_graph_recall(spark):
     assert sum(r.recall for r in rows) / len(rows) >= 0.95
 
 
+def written(folder, n, copies=1, dims=8):
+    """A folder with ``embeddings`` of n random rows, ``copies`` of each under ids far apart, and the other tables that their SQL reads."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    v = np.tile(np.random.default_rng(3).normal(size=(n // copies, dims)).astype(np.float32), (copies, 1))
+    ids = pa.array(range(len(v)), pa.int64())
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "label": pa.array([i % 10 for i in range(len(v))], pa.int32())}), f"{folder}/embeddings.parquet")
+    duck = duckdb.connect()
+    for name, path in (("embeddings", f"{folder}/embeddings.parquet"), ("documents", f"{DATA}/documents.parquet")):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return str(folder), duck
+
+
+def answers(spark, folder, duck, name):
+    """The rows of a query and of its SQL, columns by name."""
+    from arrowfen.plans import lifecycle  # noqa: F401  adds its queries
+
+    df, want = catalogue.QUERIES[name](spark, folder), duck.sql(catalogue.ORACLES[name])
+    columns = sorted(df.columns)
+    pick = [want.columns.index(c) for c in columns]
+    return sorted(tuple(r[c] for c in columns) for r in df.collect()), sorted(tuple(r[k] for k in pick) for r in want.fetchall())
+
+
+def test_collection_searches_break_ties_by_number(spark, tmp_path):
+    folder, duck = written(tmp_path, 1500, copies=3)
+    for name in ("collection_search_flat", "collection_search_graph"):
+        got, want = answers(spark, folder, duck, name)
+        assert got == want
+
+
 def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     want = {r.id for r in catalogue.vectors(spark, DATA).where("id % 100 = 0").collect()}
     for name in ("knn_batch", "knn_batch_l2", "ivf_search_np1", "ivf_search_full", "hnsw_recall", "hnsw_tombstones", "hnsw_filtered", "index_auto_search"):

@@ -185,6 +185,24 @@ def test_one_graph():
     assert all(got[0][0] // 50 == i // 50 for i, got in zip(range(0, 1500, 50), apart.search_many(far[::50], 5, 50)))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_exact_graph_search_misses_nothing(spark, tmp_path, metric):
+    pick = np.random.default_rng(9)
+    v = np.repeat(pick.normal(size=(2500, 48)), 2, axis=0).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>")
+    queries, some = df.where("id % 50 = 0").selectExpr("id AS q_id", "vector"), df.where("id % 3 = 0")
+    index = graph.GraphIndex.build(df, f"{tmp_path}/g", metric)
+    found = lambda rows: {(r.q_id, r.id) for r in rows.collect()}
+    for allowed, rows in ((None, df), (some, some)):
+        want = found(knn.knn_batch(rows, queries, 10, metric))
+        assert len(found(index.search(queries, 10, 20, allowed=allowed))) == len(want)
+        assert found(index.search(queries, 10, 20, allowed=allowed, exact=True)) == want
+    assert found(index.search(queries, 10, 20)) != found(index.search(queries, 10, 20, exact=True))
+    lists = VectorIndex.build(df, IndexConfig(kind="ivf", metric=metric, clusters=12, nprobe=1, iterations=1), path=f"{tmp_path}/i")
+    want = found(knn.knn_batch(df, queries, 10, metric))
+    assert found(lists.search(queries, 10)) != want and found(lists.search(queries, 10, SearchConfig(exact=True))) == want
+
+
 def test_stored_lists_are_pruned(spark, cloud, tmp_path):
     df, v = cloud
     ivf.IvfIndex.build(df, 12, 3).save(f"{tmp_path}/i")
