@@ -573,7 +573,7 @@ def hnsw_insert_remove(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_batch_sql(10))
 def index_auto_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The index that the number of rows calls for; the SQL holds while that is the flat one."""
+    """The index that is built where the settings name none: the scan, so that no row is missed, however many there are."""
     index = VectorIndex.build(vectors(spark, sf))
     return rounded(sampled(spark, sf, index.search))
 
