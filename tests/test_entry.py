@@ -96,6 +96,12 @@ def test_automatic_index_misses_nothing_in_large_tables(spark, tmp_path):
     assert got == want
 
 
+def test_automatic_index_stats_of_large_tables(spark, tmp_path):
+    folder, duck = written(tmp_path, 10_100)
+    got, want = answers(spark, folder, duck, "index_auto_stats")
+    assert got == want
+
+
 def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     want = {r.id for r in catalogue.vectors(spark, DATA).where("id % 100 = 0").collect()}
     for name in ("knn_batch", "knn_batch_l2", "ivf_search_np1", "ivf_search_full", "hnsw_recall", "hnsw_tombstones", "hnsw_filtered", "index_auto_search"):
