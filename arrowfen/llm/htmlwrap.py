@@ -11,12 +11,12 @@ by tags and classes are left out of it, outside of articles also menus by their
 from __future__ import annotations
 
 import json
+import math
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -62,8 +62,10 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 #: Nodes deeper than this are children of their ancestor at this depth.
 DEEP = 150
-#: Pairs of siblings up to which all are compared; longer lists are first split at equal nodes.
-CELLS = 40_000
+#: Cells of an alignment's table that are held at once; of a larger one some rows are kept and the others made twice.
+HELD = 1_000_000
+#: Cells up to which plain numbers are quicker than arrays; a node's weight there, above any number of texts. The alignment is the same.
+FEW, UNIT = 400, 1 << 40
 #: Reference pages of each layout.
 DRAWN = 4
 #: Aligned pages that a template node needs, and the share of them that must have its text.
@@ -269,116 +271,189 @@ def voted(references: list[list], tree: list) -> dict[int, bool]:
 def aligned(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: how many nodes align top-down in order, and the text marks of those with text in both.
 
-    The most nodes are aligned; among such alignments one with the most equal texts.
+    The most nodes are aligned; among such alignments one with the most equal
+    texts. That holds for lists of any length; time grows with the product of
+    the pages' nodes at each depth, memory doesn't.
     """
-    weight, found = _matched(a, b)
-    return weight >> 20, found
-
-
-def _matched(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     if a[0] != b[0]:
         return 0, []
-    if a[2] and b[2]:
-        weight, found = _aligned_kids(a[2], b[2])
-    else:
-        weight, found = 0, []
-    if a[1] and b[1]:
-        found = [(a[1], b[1]), *found]
-    return weight + (1 << 20) + (0 < abs(a[1]) and a[1] == b[1]), found
+    size, found = _aligned_kids(a[2], b[2]) if a[2] and b[2] else (0, [])
+    return size + 1, [(a[1], b[1]), *found] if a[1] and b[1] else found
 
 
 def _aligned_kids(rows: list, columns: list) -> tuple[int, list[tuple[int, int]]]:
-    """The alignment of two lists of siblings: equal ends first, the rest by dynamic programming, or between equal nodes if that is too long."""
+    """The alignment of two lists of siblings: equal ends first, which loses nothing, the rest by dynamic programming."""
     head, most = 0, min(len(rows), len(columns))
     while head < most and rows[head] == columns[head]:
         head += 1
     tail = 0
     while tail < most - head and rows[-1 - tail] == columns[-1 - tail]:
         tail += 1
-    parts = [_matched(x, x) for x in rows[:head]]
     x, y = rows[head : len(rows) - tail], columns[head : len(columns) - tail]
-    if len(x) == len(y) and all(i[0] == j[0] for i, j in zip(x, y)):
-        parts += [_matched(i, j) for i, j in zip(x, y)]
-    elif len(x) * len(y) <= CELLS:
-        parts.append(_best(x, y))
+    keys, others = [i[0] for i in x], [j[0] for j in y]
+    deep = {i[0] for i in x if i[2]}.intersection(j[0] for j in y if j[2])
+    if keys == others and all(keys.count(key) == 1 for key in deep):
+        pairs = zip(x, y)  # all align in one way only, and no pair of more than one node has another place
+    elif not deep and (keys == others[: len(x)] or keys[: len(y)] == others) and {i[1] for i in x if i[1]}.isdisjoint(j[1] for j in y):
+        pairs = zip(x, y)  # what the table gives where the shorter list is all aligned and no text is equal
     else:
-        parts += _between(x, y)
-    parts += [_matched(x, x) for x in rows[len(rows) - tail :]]
+        pairs = ((x[i], y[j]) for i, j in (_best(x, y) if deep or len(x) * len(y) > FEW else _quick(x, y)))
+    parts = [aligned(i, i) for i in rows[:head]] + [aligned(i, j) for i, j in pairs] + [aligned(i, i) for i in rows[len(rows) - tail :]]
     return sum(n for n, _ in parts), [p for _, some in parts for p in some]
 
 
-def _best(rows: list, columns: list) -> tuple[int, list[tuple[int, int]]]:
-    best = [[0] * (len(columns) + 1)]
-    cell = {}
-    for i, x in enumerate(rows):
-        above, now = best[-1], [0]
-        for j, y in enumerate(columns):
-            weight = max(above[j + 1], now[j])
-            if x[0] == y[0]:
-                if x[2] and y[2]:
-                    cell[i, j] = _matched(x, y)
-                    own = cell[i, j][0]
-                else:
-                    own = (1 << 20) + (x[1] != 0 and x[1] == y[1])
-                weight = max(weight, above[j] + own)
-            now.append(weight)
-        best.append(now)
-    i, j, found = len(rows), len(columns), []
-    weight = best[i][j]
+def _nodes(some: list) -> int:
+    return sum(1 + _nodes(n[2]) for n in some)
+
+
+class _Level:
+    """The nodes of one depth below a list of siblings, children of one parent side by side, and what a row of the alignment needs of them."""
+
+    def __init__(self, parents: list | None, nodes: list, shift: int) -> None:
+        self.nodes, self.shift = nodes, shift
+        self.none = np.zeros(len(nodes), np.int64)
+        self.shapes: dict[tuple, int] = {}
+        self.known: dict[int, np.ndarray] = {}  # weights by shape, HELD cells of them at most
+        places: dict[str, list[int]] = {}
+        self.marks: dict[int, list[int]] = {}
+        for j, n in enumerate(nodes):
+            places.setdefault(n[0], []).append(j)
+            if n[1]:
+                self.marks.setdefault(n[1], []).append(j)
+        self.keys = {}
+        for key, some in places.items():
+            self.keys[key] = self.none.copy()
+            self.keys[key][some] = 1 << shift
+        counts = np.array([len(n[2]) for n in parents] if parents is not None else [len(nodes)], np.int64)
+        self.some = np.flatnonzero(counts)
+        self.ends = np.cumsum(counts)[self.some] - 1
+        self.starts = self.ends - counts[self.some] + 1
+        self.room = 2 * shift + 1  # bits of a weight
+        self.narrow = self.room + len(self.some).bit_length() < 63
+        self.offset = np.repeat(np.arange(len(self.some), dtype=np.int64) << self.room, counts[self.some]) if self.narrow else None
+
+    def after(self, best: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The next row of the table of each parent: the best of the row above, of the cell to the left, and of the two nodes together."""
+        row = np.empty_like(best)
+        row[1:] = best[:-1]
+        row[self.starts] = 0
+        row += weights
+        np.maximum(row, best, out=row)
+        if len(self.starts) == 1:
+            return np.maximum.accumulate(row, out=row)
+        if self.narrow:
+            row += self.offset
+            np.maximum.accumulate(row, out=row)
+            row -= self.offset
+        else:
+            for i, j in zip(self.starts.tolist(), self.ends.tolist()):
+                np.maximum.accumulate(row[i : j + 1], out=row[i : j + 1])
+        return row
+
+
+def _shape(node: list, levels: list[_Level], depth: int) -> int | None:
+    """A number of all that weighs of a node at that depth: its key, its text if any node there has it, and its children; None if nothing."""
+    level = levels[depth]
+    if node[0] not in level.keys:
+        return None
+    kids = tuple([s for k in node[2] if (s := _shape(k, levels, depth + 1)) is not None]) if depth + 1 < len(levels) else ()
+    return level.shapes.setdefault((node[0], node[1] if node[1] in level.marks else 0, kids), len(level.shapes))
+
+
+def _weights(node: list, levels: list[_Level], depth: int) -> np.ndarray | None:
+    """What ``node`` aligned with each node of that depth is worth: nodes first, then equal texts; None if nothing. Not to be written to."""
+    level = levels[depth]
+    out = level.keys.get(node[0])
+    if out is None:
+        return None
+    same = level.marks.get(node[1]) if node[1] else None
+    kids = shape = None
+    if node[2] and depth + 1 < len(levels):
+        shape = _shape(node, levels, depth)
+        if shape in level.known:
+            return level.known[shape]
+        below = levels[depth + 1]
+        for kid in node[2]:
+            weights = _weights(kid, levels, depth + 1)
+            if weights is not None:
+                kids = below.after(below.none if kids is None else kids, weights)
+    if same is not None or kids is not None:
+        one = out > 0
+        out = out.copy()
+        if same is not None:
+            out[same] += 1
+        if kids is not None:
+            out[below.some] += kids[below.ends]
+            out *= one
+    if shape is not None and len(level.known) * len(out) < HELD:
+        level.known[shape] = out
+    return out
+
+
+def _best(rows: list, columns: list) -> list[tuple[int, int]]:
+    """Which rows align with which columns: the table's rows are made one after the other, and those on the way back made again from the last one that was kept."""
+    if not rows or not columns:
+        return []
+    shift = min(_nodes(rows), _nodes(columns)).bit_length()
+    levels = [_Level(None, columns, shift)]
+    while below := [k for n in levels[-1].nodes for k in n[2]]:
+        levels.append(_Level(levels[-1].nodes, below, shift))
+    top = levels[0]
+
+    def row(best: np.ndarray, i: int) -> np.ndarray:
+        weights = _weights(rows[i], levels, 0)
+        return best if weights is None else top.after(best, weights)
+
+    step = len(rows) if len(rows) * len(columns) <= HELD else max(1, math.isqrt(len(rows)))
+    best, kept = top.none, []
+    for i in range((len(rows) - 1) // step * step):
+        if i % step == 0:
+            kept.append(best)
+        best = row(best, i)
+    kept.append(best)
+    at, found = len(columns), []
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * step
+        table = [kept[block]]
+        for i in range(first, min(first + step, len(rows))):
+            table.append(row(table[-1], i))
+        some = _back(table, at)
+        at = some[-1][1] if some else at
+        found += [(first + i, j) for i, j in some]
+    return found[::-1]
+
+
+def _back(table: list, j: int) -> list[tuple[int, int]]:
+    """The pairs on the way back from the table's last row and column ``j``, last first; columns count from 1."""
+    i, found = len(table) - 1, []
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        here = table[i][j - 1]
+        if here == table[i - 1][j - 1]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif here == (table[i][j - 2] if j > 1 else 0):
             j -= 1
         else:
             i, j = i - 1, j - 1
-            found.append((cell[i, j] if (i, j) in cell else _matched(rows[i], columns[j]))[1])
-    return weight, [p for some in reversed(found) for p in some]
-
-
-def _between(rows: list, columns: list) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Long lists: the longest run in order of equal nodes, the n-th of a kind with the n-th, and the gaps between them; a gap without any in order."""
-    at: dict[tuple[str, int], int] = {}
-    seen: Counter = Counter()
-    for j, y in enumerate(columns):
-        name = json.dumps(y)
-        at[name, seen[name]] = j
-        seen[name] += 1
-    seen.clear()
-    ends: list[int] = []  # columns that end the shortest runs
-    last: list[int] = []
-    pairs: list[tuple[int, int, int]] = []  # row, column, pair before
-    for i, x in enumerate(rows):
-        name = json.dumps(x)
-        j = at.get((name, seen[name]))
-        seen[name] += 1
-        if j is not None:
-            k = bisect_left(ends, j)
-            pairs.append((i, j, last[k - 1] if k else -1))
-            ends[k : k + 1], last[k : k + 1] = [j], [len(pairs) - 1]
-    if not pairs:
-        parts, places, j = [], {}, 0
-        for n, y in enumerate(columns):
-            places.setdefault(y[0], []).append(n)
-        for x in rows:
-            own = places.get(x[0], [])
-            k = bisect_left(own, j)
-            if k < len(own):
-                parts.append(_matched(x, columns[own[k]]))
-                j = own[k] + 1
-        return parts
-    chain, k = [], last[-1]
-    while k >= 0:
-        chain.append(pairs[k])
-        k = pairs[k][2]
-    parts, i, j = [], 0, 0
-    for r, c in [*((r, c) for r, c, _ in reversed(chain)), (len(rows), len(columns))]:
-        if i < r and j < c:
-            parts.append(_aligned_kids(rows[i:r], columns[j:c]))
-        if r < len(rows):
-            parts.append(_matched(rows[r], columns[c]))
-        i, j = r + 1, c + 1
-    return parts
+            found.append((i, j))
+    return found
+
+
+def _quick(rows: list, columns: list) -> list[tuple[int, int]]:
+    """The same as ``_best`` where no pair has children on both sides, cell by cell; quicker for few cells."""
+    names, table = [(n[0], n[1]) for n in columns], [[0] * len(columns)]
+    for key, mark, *_ in rows:
+        above, row, corner, left = table[-1], [], 0, 0
+        for (other, text), up in zip(names, above):
+            if up > left:
+                left = up
+            if key == other:
+                both = corner + UNIT + (mark != 0 and mark == text)
+                if both > left:
+                    left = both
+            corner = up
+            row.append(left)
+        table.append(row)
+    return _back(table, len(columns))[::-1]
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:

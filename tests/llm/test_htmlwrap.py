@@ -1,7 +1,11 @@
+import random
 import re
 from collections import Counter
 from html import unescape
 
+import pytest
+
+from arrowfen.llm import htmlwrap
 from arrowfen.llm.htmlwrap import aligned, extracted, main_text, parse, skeleton
 
 SCHEMA = "page_id long, url string, html string, host string, marks string"
@@ -116,6 +120,49 @@ def test_long_lists_of_siblings_align():
     assert aligned(deep, deep)[0] == 5001
 
 
+def test_alignment_does_not_depend_on_the_length_of_lists():
+    tree = lambda words: skeleton(parse("".join(f"<p>{w}</p>" for w in words))[0])
+    for n in (20, 100, 190, 210, 600):  # one equal text, first here and last there: it must not cost the others
+        size, pairs = aligned(tree(["same", *(f"a{i}" for i in range(n))]), tree([*(f"b{i}" for i in range(n + 9)), "same"]))
+        assert size == n + 2 and not any(x == y for x, y in pairs)
+    rows = lambda c, n: skeleton(parse("<ul>" + "".join(f"<li><p>{c}{i}</p>" + "<p>x</p>" * (i % 3) + "</li>" for i in range(n)) + "</ul>")[0])
+    for n in (30, 240):
+        assert aligned(rows("a", n), rows("b", n + 4))[0] == worth(rows("a", n), rows("b", n + 4))[0]
+
+
+def worth(a, b):
+    """(nodes, equal texts) of the best alignment, by plain recursion."""
+    if a[0] != b[0]:
+        return 0, 0
+    best = [(0, 0)] * (len(b[2]) + 1)
+    for x in a[2]:
+        row = [(0, 0)]
+        for j, y in enumerate(b[2]):
+            own = worth(x, y)
+            row.append(max(row[j], best[j + 1], (best[j][0] + own[0], best[j][1] + own[1])))
+        best = row
+    return best[-1][0] + 1, best[-1][1] + (a[1] != 0 and a[1] == b[1])
+
+
+@pytest.mark.parametrize(("held", "few"), [(1, 0), (1_000_000, 0), (1, 1_000_000)])
+def test_alignment_is_the_best(monkeypatch, held, few):
+    monkeypatch.setattr(htmlwrap, "HELD", held)
+    pick = random.Random(4)
+
+    def tree(depth=0, path=""):
+        path += (key := pick.choice("aab") if depth else "t")
+        text = pick.choice([0, htmlwrap.mark(path, "x"), htmlwrap.mark(path, "y")])
+        return [key, text, [tree(depth + 1, path) for _ in range(5 if not depth else pick.choice([0, 0, 1, 2, 4]) if depth < 4 else 0)], 0]
+
+    for _ in range(200):
+        a, b = tree(), tree()
+        size, pairs = aligned(a, b)
+        assert (size, sum(x == y for x, y in pairs)) == worth(a, b)
+        monkeypatch.setattr(htmlwrap, "FEW", few)
+        assert aligned(a, b) == (size, pairs)
+        monkeypatch.setattr(htmlwrap, "FEW", 400)
+
+
 def test_long_and_broken_pages_take_linear_time():
     for unit in ("<p>", "<div>", "<a \"", "<", "</p>", "<b>", "<li>", "&amp;", "<!--", "<script>", "<p><b>x<br>", "İ<script></script>"):
         main_text(unit * 20000)
