@@ -81,8 +81,8 @@ def embedding_totals(calls: DataFrame, *by: str) -> DataFrame:
 
 
 def vector_bytes(vector: str = "vector") -> Column:
-    """What a cached vector takes: its id and four bytes for each component."""
-    return 16 + 4 * F.size(vector)
+    """What a cached vector takes: its id and four bytes for each component; null without one, whatever the session's ANSI mode."""
+    return 16 + 4 * F.array_size(vector)
 
 
 def newest_kept(rows: DataFrame, order: str, most: int) -> DataFrame:

@@ -617,7 +617,9 @@ query(None, "index_hnsw_recall")(lambda spark, sf: _index_recall(spark, sf, "hns
 
 @query("SELECT 'flat' AS kind, count(*) AS vectors, sum(16 + 4 * len(embedding))::BIGINT AS bytes, 0::BIGINT AS lists FROM embeddings")
 def index_auto_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return VectorIndex.build(vectors(spark, sf)).stats().drop("tombstones", "average_degree")
+    """What the index of ``index_auto_search`` holds; as in the SQL, bytes are null where no row has a vector."""
+    found = VectorIndex.build(vectors(spark, sf)).stats()
+    return found.select("kind", "vectors", F.nullif("bytes", F.lit(0)).alias("bytes"), "lists")  # a vector takes 16 at least
 
 
 @query(f"WITH {C_SQL}, {Q_SQL} SELECT id, {q6(COS_SQL)} AS cosine, {q6('list_distance(v, qv)')} AS l2 FROM c, q WHERE {COS_SQL} > 0.2")

@@ -102,6 +102,32 @@ def test_automatic_index_stats_of_large_tables(spark, tmp_path):
     assert got == want
 
 
+def test_automatic_index_stats_beyond_all_thresholds(spark, tmp_path):
+    folder, duck = written(tmp_path, 100_100)
+    got, want = answers(spark, folder, duck, "index_auto_stats")
+    assert got == want
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("vectors", [[], [None, None], [None, [1.0, 2.0]], [None, []]])
+def test_automatic_index_stats_of_missing_vectors(spark, tmp_path, vectors, ansi):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, path = len(vectors), f"{tmp_path}/embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * n, pa.int32())}), path)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got, want = answers(spark, str(tmp_path), duck, "index_auto_stats")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got == want
+
+
 def test_queries_ask_for_every_hundredth_row_and_every_passage(spark):
     want = {r.id for r in catalogue.vectors(spark, DATA).where("id % 100 = 0").collect()}
     for name in ("knn_batch", "knn_batch_l2", "ivf_search_np1", "ivf_search_full", "hnsw_recall", "hnsw_tombstones", "hnsw_filtered", "index_auto_search"):
